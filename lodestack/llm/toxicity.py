@@ -105,13 +105,13 @@ def evidence(words: list[bytes], scores: Scores, drift: float) -> tuple[int, lis
 def summary(n: int, parts: list[tuple[float, int, int]], model: Model) -> tuple[list[float], list[tuple[float, int, int]]]:
     """Extreme-value scores of a text (best, sum over passages, their number) and its passages.
 
-    A segment counts by -log of its expected number, log_k + log n - lambda * S.
+    A segment counts by -log of its expected number, lambda * S - log_k - log n; a text
+    without a segment has no evidence.
     """
     base = model.log_k + np.log(max(n, 1))
     strong = [(model.rate * s - base, s, a, b) for s, a, b in parts]
     passages = [(e, a, b) for e, s, a, b in strong if e > -np.log(model.significant)]
-    best = max((x[0] for x in strong), default=-base)
-    best = np.log1p(max(best, 0.0))
+    best = np.log1p(max((x[0] for x in strong if x[0] > 0), default=0.0))
     return [best, np.log1p(sum(e for e, _, _ in passages)), np.log1p(len(passages))], [(e, a, b) for e, a, b in passages]
 
 
