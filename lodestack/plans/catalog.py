@@ -382,11 +382,11 @@ BM25 = r"""
 
 
 def whole_documents(t: Tables) -> DataFrame:
-    return t.documents.select(F.lit("all").alias("session_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    return t.documents.select(F.when(F.col("doc_id").isNotNull(), "all").alias("session_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
 
 
 def questions(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("all").alias("session_id"), "text")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id").isNotNull(), "all").alias("session_id"), "text")
 
 
 def bm25_hits(t: Tables) -> DataFrame:
@@ -406,7 +406,7 @@ DENSE = """
 
 
 def dense_hits(t: Tables) -> DataFrame:
-    vectors = t.embeddings.select(F.lit("all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    vectors = t.embeddings.select(F.when(F.col("vec_id").isNotNull(), "all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     asked = questions(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return retrieval.dense(vectors, asked)
 
@@ -429,7 +429,7 @@ def rrf_fuse(t: Tables) -> DataFrame:
 
 @query(f"{FUSED} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank < 5")
 def hybrid(t: Tables) -> DataFrame:
-    docs, vectors = whole_documents(t), t.embeddings.select(F.lit("all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    docs, vectors = whole_documents(t), t.embeddings.select(F.when(F.col("vec_id").isNotNull(), "all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     asked = questions(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return retrieval.hybrid(retrieval.postings(docs), retrieval.corpus(docs), vectors, asked).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
 

@@ -84,13 +84,13 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     packed = chunking.pack_paragraphs(document_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     rows = packed.select("doc_id", F.lit(0).alias("section_id"), "seq", F.lit("text").alias("kind"), "text", "page_start", "page_end", F.lit("").alias("breadcrumb"))
-    return chunking.with_context(rows).withColumn("session_id", F.lit("all")).withColumn("chunk_type", F.col("kind"))
+    return chunking.with_context(rows).withColumn("session_id", F.when(F.col("doc_id").isNotNull(), "all")).withColumn("chunk_type", F.col("kind"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of the five best chunks by BM25 for each benchmark text."""
     chunks = document_chunks(spark, sf_dir)
-    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.lit("all").alias("session_id"), "text")
+    queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id").isNotNull(), "all").alias("session_id"), "text")
     hits = retrieval.bm25(retrieval.postings(chunks.withColumn("seq", F.col("doc_id") * 100_000 + F.col("seq"))), retrieval.corpus(chunks), queries, 5)
     cited = context.citations(hits.drop("seq").join(chunks, "chunk_id"))
     keys = hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
