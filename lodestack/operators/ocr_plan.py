@@ -34,18 +34,78 @@ def page_ranges(rows: DataFrame, *keys: str, page: str = "page") -> DataFrame:
     return parts.select(*keys, F.array_join(F.transform("p", lambda x: x["t"]), ", ").alias("ranges"))
 
 
+# Fixed values of the domain: what users are told about pages that weren't read.
+NO_OUTPUT, FAILED, NOT_RENDERED = "OCR returned no output", "the OCR service failed", "the page could not be rendered"
+
+
+def over_limit(planned: DataFrame, config: ChunkingConfig = CONFIG) -> DataFrame:
+    """doc_id, page, reason of planned pages beyond the cap."""
+    return planned.where(~F.col("wanted")).select("doc_id", "page", F.lit(f"over the per-document OCR limit of {config.ocr_max_pages} pages").alias("reason"))
+
+
 def reconcile(wanted: DataFrame, returned: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Results of wanted pages (doc_id, page, markdown), and skipped pages (doc_id, page, reason) with those that never came."""
     key = ["doc_id", "page"]
     got = returned.join(wanted.select(*key), key, "left_semi")
     lost = wanted.select(*key).join(got.select(*key), key, "left_anti").join(skipped.select(*key), key, "left_anti")
-    return got, skipped.select(*key, "reason").unionByName(lost.withColumn("reason", F.lit("no result was returned")))
+    return got, skipped.select(*key, "reason").unionByName(lost.withColumn("reason", F.lit(NO_OUTPUT)))
 
 
 def warnings(skipped: DataFrame) -> DataFrame:
     """doc_id, warning: a line per reason with its page ranges."""
     ranges = page_ranges(skipped, "doc_id", "reason")
-    return ranges.select("doc_id", F.concat(F.lit("OCR skipped page(s) "), F.col("ranges"), F.lit(": "), F.col("reason")).alias("warning"))
+    return ranges.select("doc_id", F.concat(F.lit("Pages "), F.col("ranges"), F.lit(" were not OCR'd: "), F.col("reason"), F.lit(".")).alias("warning"))
+
+
+def warnings_without_provider(planned: DataFrame) -> DataFrame:
+    """doc_id, warning: what can't be searched where there is no OCR."""
+    ranges = page_ranges(planned, "doc_id", "mode")
+    full = F.concat(F.lit("Pages "), F.col("ranges"), F.lit(" look like scanned images with no text layer. OCR is not available, so their content cannot be searched."))
+    figures = F.concat(F.lit("Pages "), F.col("ranges"), F.lit(" contain images whose text is not indexed (OCR is not available)."))
+    return ranges.select("doc_id", F.when(F.col("mode") == "full", full).otherwise(figures).alias("warning"))
+
+
+def call_provider(wanted: DataFrame, provider, size: int = 3) -> DataFrame:
+    """doc_id, page, markdown, reason: a plug-in's results for pages in batches of ``size``.
+
+    The plug-in gets a list of dicts (doc_id, page, mode) and gives {page: markdown}. Pages that
+    a batch leaves out are asked for once more, alone; if a call raises, its pages are skipped
+    with the reason. A batch is one task's work, and batches spread over tasks.
+    """
+
+    def run(frame):
+        import pandas as pd
+
+        asked = frame.sort_values("place")[["doc_id", "page", "mode"]].to_dict("records")
+        out: dict[int, tuple] = {}
+
+        def ask(some: list[dict]) -> None:
+            try:
+                found = provider(some)
+                out.update({x["page"]: (found[x["page"]], None) for x in some if x["page"] in found})
+            except Exception:  # a broken service must not fail the whole document
+                out.update({x["page"]: (None, FAILED) for x in some})
+
+        ask(asked)
+        for x in asked if len(asked) > 1 else []:
+            if x["page"] not in out:
+                ask([x])
+        return pd.DataFrame([(x["doc_id"], x["page"], *out.get(x["page"], (None, NO_OUTPUT))) for x in asked], columns=["doc_id", "page", "markdown", "reason"])
+
+    return batches(wanted, size).groupBy("doc_id", "batch").applyInPandas(run, "doc_id string, page int, markdown string, reason string")
+
+
+def read_pages(pages: DataFrame, provider=None, config: ChunkingConfig = CONFIG, size: int = 3) -> tuple[DataFrame, DataFrame]:
+    """OCR of a batch of documents: doc_id, page, mode, markdown of pages read, and doc_id, warning."""
+    planned = plan(pages, config)
+    if provider is None:
+        none = planned.where("false").select("doc_id", "page", "mode", F.lit("").alias("markdown"))
+        return none, warnings_without_provider(planned)
+    wanted = planned.where("wanted")
+    back = call_provider(wanted, provider, size)
+    skipped = over_limit(planned, config).unionByName(back.where("reason IS NOT NULL").select("doc_id", "page", "reason"))
+    read = back.where("reason IS NULL").join(wanted.select("doc_id", "page", "mode"), ["doc_id", "page"])
+    return read.select("doc_id", "page", "mode", "markdown"), warnings(skipped)
 
 
 def batches(wanted: DataFrame, size: int = 3) -> DataFrame:

@@ -144,10 +144,25 @@ def test_ocr(spark):
     skipped = spark.createDataFrame([("d", 7, "limit")], "doc_id string, page int, reason string")
     got, lost = ocr_plan.reconcile(wanted, back, skipped)
     assert [r.page for r in got.collect()] == [1]
-    assert {r.warning.partition(": ")[0] for r in ocr_plan.warnings(lost).collect()} == {"OCR skipped page(s) 7", "OCR skipped page(s) 2-3"}
+    assert {r.warning for r in ocr_plan.warnings(lost).collect()} == {"Pages 7 were not OCR'd: limit.", "Pages 2-3 were not OCR'd: OCR returned no output."}
     assert one(spark, ocr_plan.figure_note(F.lit("```\nNone.\n```"))) is None
 
 
+def test_ocr_provider(spark):
+    pages = spark.createDataFrame([("d", i, 0 if i < 4 else 100, 0.5, 0.4) for i in range(1, 6)], "doc_id string, page int, chars int, image_coverage double, biggest_image double")
+
+    def provider(asked):
+        if any(x["page"] == 3 for x in asked) and len(asked) == 1:
+            raise RuntimeError("down")
+        return {x["page"]: f"# {x['page']} {x['mode']}" for x in asked if x["page"] != 3}
+
+    read, told = ocr_plan.read_pages(pages, provider, ChunkingConfig(ocr_max_pages=4), 3)
+    assert sorted((r.page, r.markdown) for r in read.collect()) == [(1, "# 1 full"), (2, "# 2 full"), (4, "# 4 figures")]
+    assert sorted(r.warning for r in told.collect()) == ["Pages 3 were not OCR'd: the OCR service failed.", "Pages 5 were not OCR'd: over the per-document OCR limit of 4 pages."]
+    none, told = ocr_plan.read_pages(pages)
+    assert none.count() == 0 and sorted(r.warning[:9] for r in told.collect()) == ["Pages 1-3", "Pages 4-5"]
+
+
 def test_images_and_empty_tables(spark):
     images = spark.createDataFrame([("d", 1, -10.0, 0.0, 50.0, 100.0, 100.0, 100.0), ("d", 1, 0.0, 5.0, 1.0, 6.0, 100.0, 100.0)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, width double, height double")
     r = layout.image_coverage(images).first()
