@@ -38,7 +38,8 @@ def inverse_frequencies(posts: DataFrame, stats: DataFrame, config: RetrievalCon
 
 def top(rows: DataFrame, k: int, *order: Column, key: str = "query_id") -> DataFrame:
     """The first k rows of each query in the given order, with rank from 0."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).where(F.col("rank") < k)
+    numbered = rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered.where(F.col("__n") <= k).withColumn("rank", F.col("__n") - 1).drop("__n")  # this filter becomes a group limit
 
 
 def bm25(posts: DataFrame, stats: DataFrame, queries: DataFrame, k: int = CONFIG.candidates, config: RetrievalConfig = CONFIG) -> DataFrame:
