@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import map_texts
+from lodestack.llm.common import map_texts, materialize
 from lodestack.llm.neardup import few, words_of
 
 BUCKETS, PREFIXES = 1 << 20, (4, 5, 6)
@@ -227,22 +227,21 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
         return function
 
     fields = [T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.DoubleType())), T.StructField("gains", T.ArrayType(T.DoubleType()))]
-    rows = map_texts(texts.where(part == 4).join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], fields, make).limit(calibration_rows).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    y = np.array([float(r["toxic"] > 0) for r in rows])
+    rows = map_texts(texts.where(part == 4).join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], fields, make).limit(calibration_rows)
+    rows = materialize(rows, "calibration")
+    # Of the token scores the driver gets a histogram in steps of 0.01, of the rows their segments.
+    clean = rows.where("toxic <= 0")
+    tokens, found = clean.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
+    steps = clean.select(F.explode("gains").alias("g")).groupBy(F.round("g", 2).alias("g")).count().orderBy("g").toPandas()
+    rows = rows.select("doc_id", "toxic", "n", "parts").toPandas().sort_values("doc_id")
+    y = (rows["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return None
-    clean = [r for r in rows if not r["toxic"]]
-    gains = np.array([g for r in clean for g in r["gains"]])
-    tokens = max(1, sum(r["n"] for r in clean))
-    s = np.r_[gains - DRIFT, -DRIFT]
-    model.rate = solve_rate(s, np.r_[np.ones(len(gains)), max(1.0, tokens - len(gains))])
-    # K: so that clean texts have as many segments beyond a score as are expected.
-    over = sum(np.exp(min(model.rate * p, 50.0)) for r in clean for p in r["parts"])
-    found = sum(len(r["parts"]) for r in clean)
-    model.log_k = float(np.log((found + 1) / (tokens + 1))) if over else float(np.log(1 / (tokens + 1)))
-    model.log_k = min(0.0, max(model.log_k, -6.0))
-    x = np.array([summary(r["n"], [(p, 0, 0) for p in r["parts"]], model)[0] for r in rows])
+    counts = steps["count"].to_numpy(float)
+    model.rate = solve_rate(np.r_[steps["g"].to_numpy(float) - DRIFT, -DRIFT], np.r_[counts, max(1.0, tokens - counts.sum())])
+    # K: segments a token of clean text.
+    model.log_k = min(0.0, max(float(np.log((found + 1) / (tokens + 1))), -6.0))
+    x = np.array([summary(n, [(p, 0, 0) for p in parts], model)[0] for n, parts in zip(rows["n"], rows["parts"])])
     model.weights = logistic(x, y)
     return model
 
