@@ -33,6 +33,10 @@ WORDS_A_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 44, 7
 #: Ids that may be broadcast at 8 bytes each; with more, the sides are shuffled.
 BROADCAST_IDS = 500_000
+#: Members of a bucket's largest component that the others' members are compared with.
+PICKS = 4
+#: Edges that a task contracts, and levels of contraction before star rounds.
+EDGES, LEVELS = 50_000, 6
 
 _LOWER = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
@@ -190,39 +194,70 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         memo: dict[bytes, int] = {}
-        last: tuple = (None, None)
-
-        def weighed(text):
-            _, h, w = shingles([words_of(text)], memo)
-            return h, w
+        sets: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of nodes that come again, up to a million shingles
+        held = 0
+
+        def weighed(node, text):
+            nonlocal held
+            found = sets.get(node)
+            if found is None:
+                _, h, w = shingles([words_of(text)], memo)
+                if held + len(h) > 1_000_000:
+                    sets.clear()
+                    held = 0
+                found = sets[node] = (h, w)
+                held += len(h)
+            return found
 
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 a, b, text_a, text_b = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                found = []
-                for x, ta, tb in zip(a, text_a, text_b):
-                    if last[0] != x:
-                        last = (x, weighed(ta))
-                    found.append(similarity(last[1], weighed(tb)))
+                found = [similarity(weighed(x, tx), weighed(y, ty)) for x, y, tx, ty in zip(a, b, text_a, text_b)]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for every node of the edges (a, b).
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) of each partition as stars (u, v): each node with the smallest of what is connected to it there."""
 
-    Large-star and small-star rounds on written tables, till nothing changes; a node's
-    smallest neighbour is an aggregate and its neighbours never meet in a task.
-    """
+    def run(batches):
+        import pyarrow as pa
+
+        above: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        def stars():
+            u = list(above)
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array([top(x) for x in u], pa.binary())], names=["u", "v"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = sorted((top(x), top(y)))
+                above[y] = x
+            if len(above) > 200_000:  # what is held stays bounded; the next level joins the stars
+                yield stars()
+                above.clear()
+        if above:
+            yield stars()
+
+    return edges.select("a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def star_rounds(edges: DataFrame) -> DataFrame:
+    """``components`` by large-star and small-star rounds on written tables, till nothing changes."""
     spark = edges.sparkSession
-    now = edges.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     path, seen = None, None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = large.groupBy("u").agg(F.min("v").alias("m"))  # here v < u
         stars = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         new = shared_path(spark, "stars")
@@ -238,6 +273,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def components(edges: DataFrame, level: int = 0) -> DataFrame:
+    """node, component (its smallest node) for every node of the edges (a, b).
+
+    Each task turns its edges into stars. A node that several tasks have seen joins their
+    centres, which are the edges of the next level and far fewer. Should ``LEVELS`` not
+    be enough, star rounds do the rest. A task takes about ``EDGES`` edges.
+    """
+    count = edges.count()
+    grouped = contracted(edges.coalesce(max(1, -(-count // EDGES)))).groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("centres"))
+    roots = materialize(grouped, "roots")
+    open_ends = roots.where("size(centres) > 1").select(F.explode("centres").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    open_ends = materialize(open_ends, "ends")
+    named = roots.select(F.col("u").alias("node"), "m")
+    if open_ends.isEmpty():
+        return named.withColumnRenamed("m", "component")
+    above = (components(open_ends, level + 1) if level < LEVELS else star_rounds(open_ends)).select(F.col("node").alias("m"), "component")
+    return named.join(above, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+
+
 def few(df: DataFrame, count: int) -> DataFrame:
     """``df``, broadcast if ``count``, its number of ids, is within the bound."""
     return F.broadcast(df) if count <= BROADCAST_IDS else df
@@ -257,38 +311,109 @@ def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
+def shared_weight(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, weight, shared: a node's shingle weight, and that of the shingles which another of ``nodes`` has.
+
+    No pair of them can share more than the smaller of both. Shingles are grouped, and
+    those that one node has alone are added up by node.
+    """
+
+    def make():
+        memo: dict[bytes, int] = {}
+
+        def function(found):
+            out = [[], []]
+            for t in found:
+                _, h, w = shingles([words_of(t)], memo)
+                out[0].append(h.view(np.int64))
+                out[1].append(w)
+            return out
+
+        return function
+
+    fields = [T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.LongType()))]
+    sets = materialize(map_texts(texts.join(nodes, "node", "left_semi"), ["node"], fields, make), "sets")
+    rows = sets.select("node", F.explode(F.arrays_zip("h", "w")).alias("e")).select("node", "e.h", "e.w")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("w").alias("w")).where("n = 1")
+    lone = alone.groupBy("node").agg(F.sum("w").alias("lone"))
+    weight = F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b)
+    sized = sets.select("node", weight.alias("weight")).join(lone, "node", "left")
+    return sized.select("node", "weight", (F.col("weight") - F.coalesce("lone", F.lit(0))).alias("shared"))
+
+
 def links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Compared pairs with their similarity (a, b, similarity), and node, component of all linked nodes."""
+    """Compared pairs with their similarity (a, b, similarity), and node, component of all linked nodes.
+
+    A bucket's hub is its member with the most company over all its buckets: of edited copies
+    the one nearest to their source. Buckets that still hold several components compare
+    the smaller ones' members with a few members of the largest, picked by hash, and at
+    last with all members that the distances to the hub don't rule out.
+    """
     nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     exploded = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = exploded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    members = materialize(exploded.join(hubs, "key").select("key", "node", "hub"), "members")
-    pairs = materialize(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    counts = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(exploded.join(counts, "key").select("key", "node", "n"), "members")
+    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
+    pairs = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    needed = members.select("node").distinct()
     texts = materialize(texts_of(docs, signed, needed), "texts")
     first = materialize(compared(pairs, texts), "first")
-    linked = components(first.where(F.col("similarity") >= threshold))
+    linked = materialize(components(first.where(F.col("similarity") >= threshold)), "linked")
+    hubs = hubs.select("key", "hub")
+
+    def apart(linked: DataFrame) -> DataFrame:
+        """key, node, component of the members of buckets with several components."""
+        placed = members.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        return materialize(placed.join(several, "key", "left_semi"), "apart")
+
+    def unseen(found: DataFrame, *before: DataFrame) -> DataFrame:
+        both = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for old in before:
+            both = both.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        return both
+
+    mixed_buckets = apart(linked)
+    sizes = mixed_buckets.groupBy("key", "component").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("key", "node", F.lit(i))).alias(f"p{i}") for i in range(PICKS)])
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component", *[f"p{i}" for i in range(PICKS)])).alias("s"))
+    picked = largest.select("key", F.col("s.component").alias("c"), F.explode(F.array_distinct(F.array(*[F.col(f"s.p{i}") for i in range(PICKS)]))).alias("a"))
+    tried = mixed_buckets.join(picked, "key").where("component <> c").select("a", F.col("node").alias("b"))
+    second = materialize(compared(materialize(unseen(tried, pairs), "tried"), texts), "second")
+    seen = first.unionByName(second)
+    linked = materialize(components(seen.where(F.col("similarity") >= threshold)), "linked")
 
-    # Buckets of several components: intervals of distances to the hub, then the members of those
-    # components that may be close enough.
     gap = 1 - threshold + 1e-9
     distance = first.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    placed = members.join(distance, ["hub", "node"], "left").join(linked, "node", "left")
-    placed = materialize(placed.select("key", "node", "hub", F.coalesce("far", F.lit(0.0)).alias("far"), F.coalesce("component", "node").alias("component")), "placed")
-    mixed_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = placed.where("node <> hub").join(mixed_keys, "key", "left_semi")
-    spans = rest.groupBy("key", "component").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    rest = apart(linked).join(hubs, "key").where("node <> hub").join(distance, ["hub", "node"]).select("key", "node", "component", "far")
+    rest = materialize(rest, "rest")
+    # What a node shares with no other bounds its similarities; a node that shares too little has no link.
+    bounds = shared_weight(texts, rest.select("node").distinct()).where(F.col("shared") >= threshold * F.col("weight") - 1e-9)
+    rest = materialize(rest.join(bounds, "node"), "rest")
+    spans = rest.groupBy("key", "component").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.max("shared").alias("most"), F.min("weight").alias("least"))
     p, q = spans.alias("p"), spans.alias("q")
-    near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & (F.col("p.low") - F.col("q.high") <= gap) & (F.col("q.low") - F.col("p.high") <= gap))
+    may = lambda most, weights: most * (1 + threshold) >= threshold * weights - 1e-6
+    near = p.join(
+        q,
+        (F.col("p.key") == F.col("q.key"))
+        & (F.col("p.component") < F.col("q.component"))
+        & (F.col("p.low") - F.col("q.high") <= gap)
+        & (F.col("q.low") - F.col("p.high") <= gap)
+        & may(F.least("p.most", "q.most"), F.col("p.least") + F.col("q.least")),
+    )
     near = near.select(F.col("p.key").alias("key"), F.col("p.component").alias("c"), F.col("q.component").alias("d"))
-    x = rest.select("key", F.col("component").alias("c"), F.col("node").alias("x"), F.col("far").alias("far_x"))
-    y = rest.select("key", F.col("component").alias("d"), F.col("node").alias("y"), F.col("far").alias("far_y"))
-    more = near.join(x, ["key", "c"]).join(y, ["key", "d"]).where(F.abs(F.col("far_x") - F.col("far_y")) <= gap)
-    more = more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    second = materialize(compared(more, texts), "second")
-    everything = first.unionByName(second)
-    if second.where(F.col("similarity") >= threshold).isEmpty():
+    # A pair is looked at in the first bucket that both are in; being ruled out there holds everywhere.
+    side = rest.join(rest.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
+    x = side.select("key", F.col("component").alias("c"), F.col("node").alias("x"), F.col("far").alias("far_x"), F.col("shared").alias("shared_x"), F.col("weight").alias("weight_x"), F.col("keys").alias("keys_x"))
+    y = side.select("key", F.col("component").alias("d"), F.col("node").alias("y"), F.col("far").alias("far_y"), F.col("shared").alias("shared_y"), F.col("weight").alias("weight_y"), F.col("keys").alias("keys_y"))
+    more = near.join(x, ["key", "c"]).join(y, ["key", "d"])
+    first_bucket = F.col("key") == F.array_min(F.array_intersect("keys_x", "keys_y"))
+    more = more.where((F.abs(F.col("far_x") - F.col("far_y")) <= gap) & may(F.least("shared_x", "shared_y"), F.col("weight_x") + F.col("weight_y")) & first_bucket)
+    more = more.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    third = materialize(compared(materialize(unseen(more, seen), "more"), texts), "third")
+    everything = seen.unionByName(third)
+    if third.where(F.col("similarity") >= threshold).isEmpty():
         return everything, linked
     return everything, components(everything.where(F.col("similarity") >= threshold))
 

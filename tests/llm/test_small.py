@@ -339,6 +339,29 @@ def test_near_classes(spark, docs, empty):
     assert neardup.near_classes(empty).count() == 0 and neardup.dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("levels", [0, 6])
+def test_components(spark, monkeypatch, levels):
+    monkeypatch.setattr(neardup, "EDGES", 20)
+    monkeypatch.setattr(neardup, "LEVELS", levels)
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 150, (110, 2))] + [(i, i + 1) for i in range(200, 230)] + [(7, 7)]
+    name = lambda i: i.to_bytes(16, "big")
+    up = {i: i for p in pairs for i in p}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    edges = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in pairs], "a binary, b binary").repartition(6)
+    found = {bytes(r.node): bytes(r.component) for r in neardup.components(edges).collect()}
+    assert {k: v for k, v in found.items() if k != v} == {name(i): name(top(i)) for i in up if top(i) != i}
+    assert neardup.components(edges.where("false")).count() == 0
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(4)
     for overlap in (20, 60, 90):
