@@ -10,9 +10,14 @@ the parent rules them out before any distance is computed.
 A query searches its own tree first. Its k-th score there and the roots' radii rule out
 whole trees (queries and roots meet in blocks of bounded size), and the rest is searched.
 
-Edge cases: vectors that are null, hold null or non-finite components, or whose scaled
-components reach 2**24, and rows with a null id take no part; vectors are compared with
-those of the same length; rows with the query's vec_id are its own; repeated candidate
+Trees hold vectors whose scaled squared norm is below 2**50, so that products fit 64 bits
+and squared distances are exact in doubles. The others, the heavy ones, are compared with
+every query, and heavy queries with every vector, in blocks: doubles with a bound on their
+error leave the rows that may be among the k best, and whole numbers of Python rank those.
+
+Edge cases: vectors that are null or hold null or non-finite components and rows with a
+null id take no part; a score beyond 64 bits is null, and its rank is right; vectors are
+compared with those of the same length; rows with the query's vec_id are its own; repeated candidate
 rows each count; repeated query rows with the same vector are one query; an empty table
 gives no rows; other columns aren't read.
 """
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +37,8 @@ from lodestack.llm.common import materialize
 SCALE, K, QUERY_EVERY = 256, 5, 50
 PIVOTS, TREE_ROWS, LEAF, FAN, BLOCK = 64, 4096, 32, 16, 1024
 NONE = -(1 << 62)
+#: Scaled squared norm that trees hold less than.
+HEAVY = float(1 << 50)
 
 
 class MTree:
@@ -148,12 +156,85 @@ class MTree:
         return [(s, -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))]
 
 
-def scaled(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, v (whole numbers), dim of the vectors that take part."""
-    lim = float(1 << 24)
-    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double") * scale) < lim))
-    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"]).where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & good)
-    return rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), F.size("embedding").alias("dim"))
+def finite(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
+    """vec_id, embedding (doubles), heavy, dim of the vectors that take part."""
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = embeddings.select(embeddings["vec_id"].cast("long").alias("vec_id"), embeddings["embedding"].cast("array<double>").alias("embedding")).where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & good)
+    norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (F.abs(x * scale) + 1) * (F.abs(x * scale) + 1))
+    return rows.select("vec_id", "embedding", (norm >= HEAVY).alias("heavy"), F.size("embedding").alias("dim"))
+
+
+def scaled(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """vec_id, v (whole numbers), dim of the vectors of ``finite`` that aren't heavy."""
+    return vectors.where(~F.col("heavy")).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("v"), "dim")
+
+
+def whole(vector, scale: int) -> list[int]:
+    """The scaled vector in Python's whole numbers; ``floor(x * scale)`` as in ``scaled``."""
+    return [math.floor(x * scale) if math.isfinite(x * scale) else int(x) * scale for x in map(float, vector)]
+
+
+def best_of(query: list[int], query_id: int, ids: np.ndarray, rows: np.ndarray, exact, k: int) -> list[tuple[int, int]]:
+    """The k best (score, vec_id) of ``rows`` (whole numbers as doubles), exactly; ``exact`` gives a row's whole numbers."""
+    at = np.flatnonzero(ids != query_id)
+    if len(at) > k:
+        with np.errstate(all="ignore"):
+            try:
+                q = np.array(query, float)
+            except OverflowError:
+                q = np.full(len(query), np.inf)
+            near = rows[at] @ q
+            off = (len(query) + 2) * 2.0**-51 * (np.abs(rows[at]) @ np.abs(q))
+        if np.isfinite(near).all() and np.isfinite(off).all():
+            least = np.partition(near - off, len(at) - k)[len(at) - k]
+            at = at[near + off >= least]
+    found = [(sum(a * b for a, b in zip(query, exact(i))), int(ids[i])) for i in at.tolist()]
+    return sorted(found, key=lambda x: (-x[0], x[1]))[:k]
+
+
+def heavy_answers(vectors: DataFrame, queries: Column, k: int, scale: int) -> DataFrame:
+    """query_id, mark (the query's whole numbers), vec_id, score, tier, big: the k best of each block, of pairs with a heavy side.
+
+    A score that 64 bits can't hold is 0, with its sign in ``tier`` and its order in ``big``.
+    """
+
+    def marked(frames):
+        for frame in frames:
+            frame["mark"] = [",".join(map(str, whole(v, scale))) for v in frame["embedding"]]
+            yield frame[["query_id", "mark", "dim", "heavy"]]
+
+    asked = vectors.where(queries).select(F.col("vec_id").alias("query_id"), "embedding", "dim", "heavy")
+    asked = materialize(asked.mapInPandas(marked, "query_id long, mark string, dim int, heavy boolean").distinct(), "heavy-queries")
+
+    def scan(key, wanted, found):
+        import pandas as pd
+
+        out, memo = [], {}
+        if len(wanted) and len(found):
+            ids, raw = found["vec_id"].to_numpy(np.int64), np.stack(found["embedding"].to_numpy()).astype(float)
+            with np.errstate(all="ignore"):
+                rows = np.floor(raw * scale)
+
+            def exact(i):
+                if i not in memo:
+                    memo[i] = whole(raw[i], scale)
+                return memo[i]
+
+            for i, mark in zip(wanted["query_id"], wanted["mark"]):
+                for s, n in best_of(list(map(int, mark.split(","))), i, ids, rows, exact, k):
+                    tier = (s >= 1 << 63) - (s < -(1 << 63))
+                    # 1 << 4399 is beyond any sum of products of doubles
+                    out.append((i, mark, n, 0 if tier else s, tier, (s + (1 << 4399)).to_bytes(550, "big") if tier else None))
+        return pd.DataFrame(out, columns=["query_id", "mark", "vec_id", "score", "tier", "big"])
+
+    def pairs(wanted: DataFrame, found: DataFrame) -> DataFrame:
+        shards, blocks = max(1, -(-wanted.count() // BLOCK)), max(1, -(-found.count() // TREE_ROWS))
+        left = wanted.withColumn("shard", F.pmod(F.xxhash64("query_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = found.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        keys = ["dim", "block", "shard"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(scan, "query_id long, mark string, vec_id long, score long, tier int, big binary")
+
+    return pairs(asked, vectors.where("heavy")).unionByName(pairs(asked.where("heavy"), vectors.where(~F.col("heavy"))))
 
 
 def celled(vectors: DataFrame, pivots: int = PIVOTS) -> DataFrame:
@@ -183,7 +264,8 @@ def matrix(rows, dim: int) -> np.ndarray:
 
 def top_k(embeddings: DataFrame, queries: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row where ``queries`` (of vec_id) holds."""
-    placed = materialize(celled(scaled(embeddings, scale)), "cells")
+    vectors = finite(embeddings, scale)
+    placed = materialize(celled(scaled(vectors, scale)), "cells")
     sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / TREE_ROWS).cast("int").alias("cuts"))
     cut = placed.join(sizes, ["dim", "cell"]).select("vec_id", "v", F.concat_ws("/", "dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("cuts")).cast("string")).alias("tree"), "dim")
 
@@ -249,6 +331,13 @@ def top_k(embeddings: DataFrame, queries: Column, k: int = K, scale: int = SCALE
     copies = trees.select("tree", "data").join(routed.select("tree", "shard").distinct(), "tree")
     copies = copies.select(F.col("tree").alias("tree"), F.col("shard").alias("shard"), "data")  # names of their own for the cogroup
     rest = routed.groupBy("tree", "shard").cogroup(copies.groupBy("tree", "shard")).applyInPandas(answer, answers)
-    order = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
-    ranked = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = first.unionByName(rest)
+    if vectors.where("heavy").isEmpty():
+        order = Window.partitionBy("query_id", "v").orderBy(F.col("score").desc(), "vec_id")
+    else:
+        light = found.select("query_id", F.concat_ws(",", F.col("v").cast("array<string>")).alias("mark"), "vec_id", "score", F.lit(0).alias("tier"), F.lit(None).cast("binary").alias("big"))
+        found = light.unionByName(heavy_answers(vectors, queries, k, scale))
+        order = Window.partitionBy("query_id", "mark").orderBy(F.col("tier").desc(), F.col("score").desc(), F.col("big").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    score = F.when(F.col("tier") == 0, F.col("score")).alias("score") if "tier" in found.columns else "score"
+    return ranked.select("query_id", "rank", "vec_id", score)

@@ -280,6 +280,26 @@ def test_topk(spark):
     assert mtree.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_keeps_large_components(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(200, 4)).astype(np.float32)
+    base[[3, 50, 77], 1] = [70_000.0, 65_536.0, -70_000.0]
+    base[[9, 100, 130], 2] = [4e6, -3e6, 1e12]
+    base[[120, 121, 140], 0] = [1e12, 1e12, 3e38]
+    base[120] = base[121]
+    vectors = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(150, [float("inf"), 0.0, 0.0, 0.0]), (50, [float(x) for x in base[50]])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vectors if all(np.isfinite(v))]
+    want = set()
+    for q, v in whole:
+        if q % 10 == 0:
+            hits = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q)[:5]
+            want |= {(q, k + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for k, (s, i) in enumerate(hits)}
+    found = mtree.top_k(frame, F.col("vec_id") % 10 == 0).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert {3, 9, 130} <= {i for _, _, i, _ in want} and None in {s for *_, s in want}
+
+
 def test_tree_search_skips_pages():
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(20, 16)) * 300
