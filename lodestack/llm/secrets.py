@@ -5,8 +5,9 @@ around it and of common identifiers; the bytes that this adds are its marginal s
 Strings that the dictionary does not explain are reported as kind ``novel``.
 
 Edge cases: a null text counts as empty (no spans); texts are scanned whole; repeated
-rows are scanned one by one; an overlap of kinds is reported for each kind; a novel
-candidate that overlaps a base span is not reported again.
+rows are scanned one by one; an overlap of kinds is reported for each kind; of a novel
+token only what no base span covers is reported; it is reported whole if one of its
+pieces is novel; a token without quotes is of ASCII and Latin characters.
 """
 
 from __future__ import annotations
@@ -25,10 +26,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # a run of fewer is dropped whole, so this f
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words that make what follows them sensitive.
+#: Words that make what follows them sensitive, and the whole token after them: up to the closing quote or white space.
 SENSITIVE = re.compile(
-    r"""(?ai)(?:pwd|passphrase|credential|bearer|authorization|auth|private_?key|access_?key|client_?key|signing_?key|signature|session_?id|cookie)[a-z_]{0,12}["']?\x20*(?:[:=]|\x20)\x20*["']?([A-Za-z0-9+/_=-]{16,})"""
+    r"""(?ai)(?:pwd|passphrase|credential|bearer|authorization|auth|private_?key|access_?key|client_?key|signing_?key|signature|session_?id|cookie)[a-z_]{0,12}["'`]?(?:[\x20\t]*+(?:=>|:=|[:=])[\x20\t]*+|[\x20\t]++)"""
+    r"""(?:["'`]?(?:basic|bearer|digest|negotiate|ntlm|oauth|dpop|token|api-?key|aws4-hmac-sha256)(?:[\x20\t]++|(?=["'`])))?"""
+    r"""(?:"([^\s"]{16,})|'([^\s']{16,})|`([^\s`]{16,})|([!#-&(-_a-~\xa1-\u024f]{16,}))"""
 )
+#: Parts of a token that are judged by themselves where its whole is explained.
+PIECE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters at a token's end in which the context of the next one can begin.
+TAIL = 48
 #: Fixed identifiers that prime the compressor.
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 "
@@ -60,18 +67,32 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def novel(value: str, around: str) -> bool:
+    """Whether the dictionary of its context leaves most of ``value`` unexplained."""
+    if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
+        return False
+    more = novelty(value, around)
+    return more >= NOVEL_BYTES and more >= NOVEL_SHARE * len(value)
+
+
 def novel_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Incompressible strings in sensitive context that no span of ``taken`` overlaps."""
-    found = []
-    for m in SENSITIVE.finditer(text):
-        start, end = m.span(1)
-        value = m[1]
-        if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)) or any(a < end and start < b for a, _, b in taken):
+    """Incompressible tokens in sensitive context, without what spans of ``taken`` cover."""
+    found, m = [], SENSITIVE.search(text)
+    while m:
+        start, end = m.span(m.lastindex)
+        m = SENSITIVE.search(text, max(start, end - TAIL))
+        free, at = [], start
+        for a, _, b in sorted(taken + found):
+            if a < end and at < b:
+                free.append((at, a))
+                at = b
+        free = [(a, b) for a, b in [*free, (at, end)] if re.search(r"\w", text[a : min(b, end)])]
+        if not free:
             continue
         around = text[max(0, start - CONTEXT) : start] + text[end : end + CONTEXT]
-        more = novelty(value, around)
-        if more >= NOVEL_BYTES and more >= NOVEL_SHARE * len(value):
-            found.append((start, "novel", end))
+        value = text[start:end]
+        if novel(value, around) or any(novel(x[0], around) for x in PIECE.finditer(value) if x[0] != value):
+            found += [(a, "novel", b) for a, b in free]
     return found
 
 

@@ -126,6 +126,33 @@ def test_secrets(spark, docs, empty):
     assert secrets.redact_secrets(frame).columns == frame.columns and secrets.secret_report(empty).count() == 0
 
 
+KEY = "Zk3x9QmT7vR2bL8cW5nY1pDs"
+TOKENS = [
+    "Authorization: Bearer |eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV_adQssw5c| rest",
+    f"session_id\t|{KEY}| rest",
+    f"'passphrase' => '|{KEY}|', rest",
+    f"Authorization: Basic |{KEY}| rest",
+    "pwd = \"|p9@sS#w0r!d$Xk7&qLz^2|\" rest",
+    f"{{\"auth\":\"|{KEY}|\",\"b\":1}}",
+    f"cookie={KEY}; path".replace(KEY, f"|{KEY};|").replace(";|;", ";|"),
+]
+
+
+@pytest.mark.parametrize("marked", TOKENS)
+def test_secret_tokens_are_whole(marked):
+    text, (a, b) = marked.replace("|", ""), (marked.index("|"), marked.rindex("|") - 1)
+    base, spans = secrets.scan(text)
+    assert spans == [(a, "novel", b)] and not base
+    assert secrets.redact(text, spans) == text[:a] + "[SECRET]" + text[b:]
+
+
+def test_secret_tokens_around_base_spans():
+    text = f"cookie={KEY};token=abcdefgh12;{KEY[::-1]} rest"
+    base, spans = secrets.scan(text)
+    assert [k for _, k, _ in base] == ["assign"] and secrets.redact(text, spans).startswith("cookie=[SECRET]") and KEY[::-1] not in secrets.redact(text, spans)
+    assert [k for _, k, _ in secrets.scan(f"auth:{'a' * 16},bearer {KEY} rest")[1]] == ["novel"]
+
+
 def brute_licenses(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
