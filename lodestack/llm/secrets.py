@@ -2,7 +2,10 @@
 
 A candidate near a sensitive word is compressed with a dictionary made of the code
 around it and of common identifiers; the bytes that this adds are its marginal size.
-Strings that the dictionary does not explain are reported as kind ``novel``.
+Strings that the dictionary does not explain are reported as kind ``novel``: their
+marginal size comes near the entropy of random strings of their alphabet. Every
+candidate is compressed, also letters alone; a long word of prose in such a place can be
+reported too.
 
 Edge cases: a null text counts as empty (no spans); texts are scanned whole; repeated
 rows are scanned one by one; an overlap of kinds is reported for each kind; of a novel
@@ -13,7 +16,9 @@ pieces is novel; a token without quotes is of ASCII and Latin characters.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import string
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -46,7 +51,10 @@ IDENTIFIERS = (
     "secret_key service session_id signature string_value test_value token username version "
     "your_api_key_here xxxxxxxxxxxxxxxx changeme undefined null true false"
 )
-CONTEXT, NOVEL_SHARE, NOVEL_BYTES = 256, 0.6, 12
+CONTEXT, NOVEL_SHARE, RANDOM_SHARE, NOVEL_BYTES, LONG_BYTES = 256, 0.6, 0.9, 12, 48
+_L, _U, _D = string.ascii_lowercase, string.ascii_uppercase, string.digits
+#: Alphabets of keys, the smallest first.
+ALPHABETS = [frozenset(x) for x in (_D, _D + "abcdef", _D + "ABCDEF", _L, _U, _D + _L, _D + _U, _L + _U, _D + _L + _U, _D + _L + _U + "+/_-=", _D + _L + _U + string.punctuation)]
 
 
 def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> int:
@@ -67,12 +75,15 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return found
 
 
+def entropy(value: str) -> float:
+    """Bytes that a random string of this length takes in the smallest of ``ALPHABETS`` that has its characters."""
+    used = set(value)
+    return len(value) * math.log2(next((len(x) for x in ALPHABETS if used <= x), 256)) / 8
+
+
 def novel(value: str, around: str) -> bool:
-    """Whether the dictionary of its context leaves most of ``value`` unexplained."""
-    if not (re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value)):
-        return False
-    more = novelty(value, around)
-    return more >= NOVEL_BYTES and more >= NOVEL_SHARE * len(value)
+    """Whether the dictionary of its context leaves as much of ``value`` unexplained as of a random string, ``NOVEL_SHARE`` of it, or ``LONG_BYTES``."""
+    return novelty(value, around) >= max(NOVEL_BYTES, min(NOVEL_SHARE * len(value), RANDOM_SHARE * entropy(value), LONG_BYTES))
 
 
 def novel_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:

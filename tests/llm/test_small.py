@@ -150,7 +150,23 @@ def test_secret_tokens_around_base_spans():
     text = f"cookie={KEY};token=abcdefgh12;{KEY[::-1]} rest"
     base, spans = secrets.scan(text)
     assert [k for _, k, _ in base] == ["assign"] and secrets.redact(text, spans).startswith("cookie=[SECRET]") and KEY[::-1] not in secrets.redact(text, spans)
-    assert [k for _, k, _ in secrets.scan(f"auth:{'a' * 16},bearer {KEY} rest")[1]] == ["novel"]
+    assert [k for _, k, _ in secrets.scan(f"auth:{'z' * 40},bearer {KEY} rest")[1]] == ["novel"]
+
+
+@pytest.mark.parametrize("length", [16, 20, 64, 128, 192, 256, 320, 512, 1024, 4096])
+@pytest.mark.parametrize("alphabet", ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_random_keys_are_novel(alphabet, length):
+    rng = np.random.default_rng(length)
+    for _ in range(20):
+        text = "x private_key = \"" + "".join(rng.choice(list(alphabet), length)) + "\" y"
+        spans = secrets.scan(text)[1]
+        assert secrets.redact(text, spans) == 'x private_key = "[SECRET]" y', text
+
+
+def test_keys_without_digits_and_explained_tokens():
+    assert [k for _, k, _ in secrets.scan('private_key = "KJHgfdSWQzxcvBNMplkJ"')[1]] == ["novel"]
+    for value in ("your_api_key_here", "x" * 400, "0123456789ABCDEF" * 20, "abcdefghijklmnopqrstuvwxyz", "authorization_session_id"):
+        assert secrets.scan(f'private_key = "{value}"')[1] == [], value
 
 
 def brute_licenses(text):
