@@ -624,7 +624,7 @@ def long_split(t: Tables) -> DataFrame:
 @query()
 def outline_match(t: Tables) -> DataFrame:
     heads = adapters.html_elements(t.pages).where("kind <> 'list'").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), "pos", text.norm_title(F.col("text")).alias("norm"))
-    outline = heads.where("pos < 12").select("doc_id", "page", F.col("pos").alias("entry"), F.lit(1).alias("level"), F.substring("norm", 1, 60).alias("title"))
+    outline = heads.select("doc_id", "page", F.col("pos").alias("entry"), F.lit(1).alias("level"), F.col("norm").alias("title"))
     return structure.match_outline(heads, outline)
 
 

@@ -43,6 +43,18 @@ def test_runs(name, spark, sf):
     assert catalog.QUERIES[name](spark, sf).columns
 
 
+def test_outline_match_covers_every_element(spark, sf):
+    from pyspark.sql import functions as F
+
+    from lodestack.functions import text
+    from lodestack.sources import adapters
+
+    heads = adapters.html_elements(spark.read.parquet(f"{sf}/pages.parquet")).where("kind <> 'list'")
+    want = {(r.page_id, r.pos) for r in heads.where(text.norm_title(F.col("text")) != "").select("page_id", "pos").collect()}
+    found = catalog.QUERIES["outline_match"](spark, sf).collect()
+    assert {(r.doc_id, r.pos) for r in found} == want and len(found) == len(want) == len({(r.doc_id, r.entry) for r in found})
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
