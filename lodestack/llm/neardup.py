@@ -13,8 +13,8 @@ are classes, so pairs inside a component need no comparison.
 
 A pair at the threshold shares no band with probability (1 - 0.8**7)**44, about 3e-5.
 
-Edge cases: a null id or a text without a word takes no part and is a class of its own
-(``class_id`` is its doc_id); a text of fewer than five words is one shingle of all its
+Edge cases: a null id or an empty text takes no part and is a class of its own
+(``class_id`` is its doc_id); a text without a word meets its exact copies alone; a text of fewer than five words is one shingle of all its
 words; texts are read whole; repeated rows have the same class; an empty table gives no
 rows; other columns aren't read by ``near_classes`` and stay as they are in ``dedup``.
 """
@@ -160,8 +160,14 @@ def node_of(words: list[bytes]) -> bytes | None:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
 
 
+def place_of(text: str, words: list[bytes]) -> bytes | None:
+    """A text's node; without words the node of its bytes, and none if it is empty."""
+    # A word holds no zero byte, so the two kinds don't meet.
+    return node_of(words) if words or not text else node_of([b"\0" + text.encode("utf-8", "surrogatepass")])
+
+
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, node (16 bytes, null without words), bands (array of keys)."""
+    """doc_id, node (16 bytes, null without text), bands (array of keys, null without words)."""
 
     def make():
         memo: dict[bytes, int] = {}
@@ -169,7 +175,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
         def function(texts):
             words = [words_of(t) for t in texts]
             keys = band_keys(dart_ranks(*shingles(words, memo), len(texts), bands * rows), bands, rows)
-            return [[node_of(w) for w in words], [k if w else None for k, w in zip(keys, words)]]
+            return [[place_of(t, w) for t, w in zip(texts, words)], [k if w else None for k, w in zip(keys, words)]]
 
         return function
 
@@ -305,7 +311,7 @@ def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
         chosen.select("doc_id", "text"),
         ["doc_id"],
         [T.StructField("node", T.BinaryType()), T.StructField("text", T.StringType())],
-        lambda: lambda texts: [[node_of(words_of(t)) for t in texts], texts],
+        lambda: lambda texts: [[place_of(t, words_of(t)) for t in texts], texts],
     )
     # An id may have several rows; those of other nodes fall out, and of equal ones one stays.
     return named.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
@@ -418,30 +424,39 @@ def links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY) ->
     return everything, components(everything.where(F.col("similarity") >= threshold))
 
 
-def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the smallest doc_id of its class), class_size; a row per row of ``docs``."""
+def placed(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, node, component, class_id (the smallest doc_id of its class), class_size; a row per row of ``docs``."""
     signed = materialize(signatures(docs), "signed")
     _, linked = links(docs, signed, threshold)
     named = signed.select("doc_id", "node").join(linked, "node", "left")
-    alone = named.where("node IS NULL OR doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    rows = named.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.coalesce("component", "node").alias("component"))
+    alone = named.where("node IS NULL OR doc_id IS NULL").select("doc_id", "node", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    rows = named.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
     classes = rows.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    return rows.join(classes, "component").select("doc_id", "class_id", "class_size").unionByName(alone)
+    return rows.join(classes, "component").select("doc_id", "node", "component", "class_id", "class_size").unionByName(alone)
+
+
+def near_classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its class), class_size; a row per row of ``docs``."""
+    return placed(docs, threshold).select("doc_id", "class_id", "class_size")
 
 
 def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names the class.
+    """``docs`` with one row of each class: one whose id names the class, of several texts with that id the smallest node.
 
-    Rows with a null id stay. Where several rows have an id that stays, one of them stays.
+    Rows with a null id stay. Where several rows have an id without text, one of them stays.
     """
-    classes = materialize(near_classes(docs, threshold), "classes")
+    classes = materialize(placed(docs, threshold).drop("class_size"), "classes")
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(few(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     count = twice.count()
     if not count:
-        return kept
-    once = kept.join(few(twice, count), "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(few(twice, count), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
-
-
+        return docs.join(few(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    twice = materialize(twice, "twice")
+    once = docs.join(few(twice, count), "doc_id", "left_anti").join(few(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    # An id with several rows doesn't tell which of them stays; its text does.
+    rows = docs.join(few(twice, count), "doc_id", "left_semi").select(*docs.columns)
+    rows = map_texts(rows, docs.columns, [T.StructField("__node", T.BinaryType())], lambda: lambda texts: [[place_of(t, words_of(t)) for t in texts]])
+    stay = classes.where("doc_id = class_id").join(few(twice, count), "doc_id", "left_semi").groupBy("doc_id", "component").agg(F.min("node").alias("node"))
+    stay = stay.select(F.col("doc_id").alias("__id"), F.col("node").alias("__stays"))
+    rows = rows.join(stay, (F.col("doc_id") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__stays")), "left_semi")
+    return once.unionByName(rows.dropDuplicates(["doc_id", "__node"]).select(*docs.columns))

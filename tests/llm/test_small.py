@@ -402,6 +402,16 @@ def test_near_classes(spark, docs, empty):
     assert neardup.near_classes(empty).count() == 0 and neardup.dedup(empty).count() == 0
 
 
+def test_dedup_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    texts = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, a), (4, "#!"), (5, "#!"), (5, "?"), (6, ""), (6, None), (6, c), (None, a)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in neardup.dedup(frame).collect()))
+    assert kept == sorted([(0, a), (1, a), (2, b), (3, c), (4, "#!"), (5, "?"), (6, "")])
+    found = Counter((r.doc_id, r.class_id) for r in neardup.near_classes(frame).collect())
+    assert found[5, 4] == found[5, 5] == found[2, 1] == 1 and found[2, 2] == 2
+
+
 @pytest.mark.parametrize("levels", [0, 6])
 def test_components(spark, monkeypatch, levels):
     monkeypatch.setattr(neardup, "EDGES", 20)
