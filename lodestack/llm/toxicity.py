@@ -1,8 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Token features (a word and its first 4, 5 and 6 letters, hashed) are counted in toxic and
-other labelled texts. Their log-odds have a Dirichlet prior in proportion to the whole
-corpus; a feature scores the lower confidence bound of its log-odds, if positive, and a
+other labelled texts. Their log-odds have a Dirichlet prior in proportion to the labelled
+texts that are counted, toxic and clean together; texts without a label, held out or kept
+for calibration have no part in it. A feature scores the lower confidence bound of its log-odds, if positive, and a
 token the best of its features less a drift. One pass over the tokens finds all maximal
 segments. A segment's score S in n tokens of clean text is exceeded K*n*exp(-lambda*S)
 times by chance; lambda solves E[exp(lambda*s)] = 1 over clean tokens. Segments with
