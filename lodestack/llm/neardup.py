@@ -6,12 +6,16 @@ in order of rank, and each of the signature's coordinates keeps its earliest dar
 coordinates agree with the probability of the weighted Jaccard similarity. Bands of
 coordinates are joined; similarities of candidates are then computed exactly.
 
-Within a bucket nothing is expanded into all pairs. Every member is compared with the
-bucket's hub; as 1 - similarity is a metric, the distances to the hub rule out most other
-pairs exactly, and what is left between different components is compared. The result
-are classes, so pairs inside a component need no comparison.
+Nothing is expanded into all pairs of a bucket. Every member is compared with the bucket's
+hub, and links contract to components. Buckets that still hold several components are cut by
+a further band and get a hub for each part. What is then left is done exactly: in every
+bucket the members outside its largest component are compared with all members of other
+components, in blocks of bounded size, inside the tasks; a row is written only where two
+components meet. The rows of all steps grow with the members of buckets. Only the comparisons
+of the last step grow with a bucket's outsiders times its members.
 
-A pair at the threshold shares no band with probability (1 - 0.8**7)**44, about 3e-5.
+A pair at the threshold shares no band with probability (1 - 0.8**7)**44, about 3e-5; a link
+that shares one is never lost.
 
 Edge cases: a null id or an empty text takes no part and is a class of its own
 (``class_id`` is its doc_id); a text without a word meets its exact copies alone; a text of fewer than five words is one shingle of all its
@@ -27,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import map_texts, materialize, remove, shared_path
+from lodestack.llm.common import map_texts, materialize, remove, scratch, shared_path
 
 WORDS_A_SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 44, 7
 #: Ids that may be broadcast at 8 bytes each; with more, the sides are shuffled.
 BROADCAST_IDS = 500_000
-#: Members of a bucket's largest component that the others' members are compared with.
-PICKS = 4
+#: Rounds in which buckets with several components are cut by a further band.
+ROUNDS = 1
+#: Members that meet a copy of their hub's shingles in one group, and shingles of a block in the last step.
+HUB_ROWS, VOLUME = 1024, 1_000_000
 #: Edges that a task contracts, and levels of contraction before star rounds.
 EDGES, LEVELS = 50_000, 6
 
@@ -190,39 +196,59 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, similarity of each pair, from the texts of both nodes (node, text)."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    rows = pairs.select("a", "b").join(right, "b").join(left, "a")
+def lists(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column, and where each row's begin and end."""
+    column = batch.column(name)
+    bounds = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]]
+    return (values.view(np.uint64) if values.dtype == np.int64 else values), bounds - bounds[0]
+
+
+def similarities(hub: tuple[np.ndarray, np.ndarray], h: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of the sorted shingles of a hub and those of the rows between ``bounds``."""
+    at = np.minimum(np.searchsorted(hub[0], h), len(hub[0]) - 1)
+    least = np.where(hub[0][at] == h, np.minimum(hub[1][at], w), 0)
+    both, own = np.add.reduceat(least, bounds[:-1]), np.add.reduceat(w, bounds[:-1])
+    return both / (own + hub[1].sum() - both)
+
+
+def hub_links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a: a hub, b: a member) of similarity ``threshold`` or more.
+
+    A hub's shingles go once to each group of about ``HUB_ROWS`` of its members.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    dealt = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    hubs = many.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
+    rows = hubs.withColumn("part", F.lit(0)).unionByName(dealt.withColumn("part", F.lit(1)))
+    rows = rows.join(sets.select(F.col("node").alias("b"), "h", "w"), "b").select("a", "salt", "part", "b", "h", "w")
 
     def run(batches):
         import pyarrow as pa
 
-        memo: dict[bytes, int] = {}
-        sets: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # of nodes that come again, up to a million shingles
-        held = 0
-
-        def weighed(node, text):
-            nonlocal held
-            found = sets.get(node)
-            if found is None:
-                _, h, w = shingles([words_of(text)], memo)
-                if held + len(h) > 1_000_000:
-                    sets.clear()
-                    held = 0
-                found = sets[node] = (h, w)
-                held += len(h)
-            return found
-
+        hub, of = None, None
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                a, b, text_a, text_b = (part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))
-                found = [similarity(weighed(x, tx), weighed(y, ty)) for x, y, tx, ty in zip(a, b, text_a, text_b)]
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
+            if not batch.num_rows:
+                continue
+            a, salt, part, b = (batch.column(c).to_pylist() for c in ("a", "salt", "part", "b"))
+            (h, bounds), (w, _) = lists(batch, "h"), lists(batch, "w")
+            out, start = [], 0
+            while start < len(a):
+                if part[start] == 0:
+                    low, high = bounds[start], bounds[start + 1]
+                    hub, of = (h[low:high].copy(), w[low:high].copy()), (a[start], salt[start])
+                    start += 1
+                    continue
+                stop = start + 1
+                while stop < len(a) and part[stop] and (a[stop], salt[stop]) == of:
+                    stop += 1
+                low, high = bounds[start], bounds[stop]
+                found = similarities(hub, h[low:high], w[low:high], bounds[start : stop + 1] - low)
+                out += (np.flatnonzero(found >= threshold) + start).tolist()
+                start = stop
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in out], pa.binary()), pa.array([b[i] for i in out], pa.binary())], names=["a", "b"])
+
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "part").mapInArrow(run, "a binary, b binary")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -303,131 +329,162 @@ def few(df: DataFrame, count: int) -> DataFrame:
     return F.broadcast(df) if count <= BROADCAST_IDS else df
 
 
-def texts_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text for each of ``nodes``, one document's text each."""
+def sets_of(docs: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, h (sorted shingle hashes), w (their weights) for each of ``nodes``, from one document's text each."""
     ids = materialize(signed.join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "ids")
     chosen = docs.select(docs["doc_id"], docs["text"]).join(few(ids, ids.count()), "doc_id", "left_semi")
-    named = map_texts(
-        chosen.select("doc_id", "text"),
-        ["doc_id"],
-        [T.StructField("node", T.BinaryType()), T.StructField("text", T.StringType())],
-        lambda: lambda texts: [[place_of(t, words_of(t)) for t in texts], texts],
-    )
+
+    def make():
+        memo: dict[bytes, int] = {}
+
+        def function(texts):
+            words = [words_of(t) for t in texts]
+            of, h, w = shingles(words, memo)
+            cuts = np.searchsorted(of, np.arange(1, len(texts)))
+            return [[place_of(t, x) for t, x in zip(texts, words)], np.split(h.view(np.int64), cuts), np.split(w.astype(np.int32), cuts)]
+
+        return function
+
+    fields = [T.StructField("node", T.BinaryType()), T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.IntegerType()))]
+    named = map_texts(chosen, ["doc_id"], fields, make)
     # An id may have several rows; those of other nodes fall out, and of equal ones one stays.
-    return named.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return named.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("h").alias("h"), F.first("w").alias("w"))
 
 
-def shared_weight(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, weight, shared: a node's shingle weight, and that of the shingles which another of ``nodes`` has.
+def outside_links(mixed_buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between components: in each bucket (key, node, component) members outside its largest component against all.
 
-    No pair of them can share more than the smaller of both. Shingles are grouped, and
-    those that one node has alone are added up by node.
+    A bucket's members are dealt to blocks and its outsiders to chunks of about ``VOLUME``
+    shingles. A task reads a chunk and then streams the block; the links it finds are
+    written once for each pair of components that they join.
     """
+    sized = mixed_buckets.join(sets.select("node", F.size("h").alias("size")), "node")
+    parts = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = parts.groupBy("key").agg(F.max(F.struct("n", "component", "size")).alias("top"), F.sum("size").alias("size"))
+    cuts = top.select(
+        "key",
+        F.col("top.component").alias("largest"),
+        F.ceil(F.col("size") / VOLUME).cast("int").alias("blocks"),
+        F.ceil((F.col("size") - F.col("top.size")) / VOLUME).cast("int").alias("chunks"),
+    )
+    rows = mixed_buckets.join(cuts, "key")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
+    asking = rows.where("component <> largest").select("key", one("chunks", 1).alias("chunk"), every("blocks").alias("block"), F.lit(0).alias("part"), "node", "component")
+    asked = rows.select("key", every("chunks").alias("chunk"), one("blocks", 2).alias("block"), F.lit(1).alias("part"), "node", "component")
+    dealt = asking.unionByName(asked).join(sets, "node").select("key", "chunk", "block", "part", "node", "component", "h", "w")
 
-    def make():
-        memo: dict[bytes, int] = {}
+    def run(batches):
+        import pyarrow as pa
 
-        def function(found):
-            out = [[], []]
-            for t in found:
-                _, h, w = shingles([words_of(t)], memo)
-                out[0].append(h.view(np.int64))
-                out[1].append(w)
-            return out
+        now, held, above = None, [], {}
 
-        return function
-
-    fields = [T.StructField("h", T.ArrayType(T.LongType())), T.StructField("w", T.ArrayType(T.LongType()))]
-    sets = materialize(map_texts(texts.join(nodes, "node", "left_semi"), ["node"], fields, make), "sets")
-    rows = sets.select("node", F.explode(F.arrays_zip("h", "w")).alias("e")).select("node", "e.h", "e.w")
-    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.sum("w").alias("w")).where("n = 1")
-    lone = alone.groupBy("node").agg(F.sum("w").alias("lone"))
-    weight = F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b)
-    sized = sets.select("node", weight.alias("weight")).join(lone, "node", "left")
-    return sized.select("node", "weight", (F.col("weight") - F.coalesce("lone", F.lit(0))).alias("shared"))
+        def top(x: bytes) -> bytes:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
 
+        def meet(nodes, components, h, w, bounds):
+            """Links of the held outsiders with these members that join components."""
+            words, place = np.unique(h, return_inverse=True)
+            own = np.add.reduceat(w, bounds[:-1])
+            found = []
+            for node, component, hx, wx in held:
+                other = np.array([top(c) != top(component) for c in components])
+                if not other.any():
+                    continue
+                at = np.minimum(np.searchsorted(words, hx), len(words) - 1)
+                hit = words[at] == hx
+                weight = np.zeros(len(words), w.dtype)
+                weight[at[hit]] = wx[hit]
+                both = np.add.reduceat(np.minimum(weight[place], w), bounds[:-1])
+                near = other & (both / (own + wx.sum() - both) >= threshold)
+                for i in np.flatnonzero(near).tolist():
+                    x, y = sorted((top(component), top(components[i])))
+                    if x != y:
+                        above[y] = x
+                        found.append((node, nodes[i]))
+            return found
 
-def links(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Compared pairs with their similarity (a, b, similarity), and node, component of all linked nodes.
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "chunk", "block"))))
+            part, node, component = (batch.column(c).to_pylist() for c in ("part", "node", "component"))
+            (h, bounds), (w, _) = lists(batch, "h"), lists(batch, "w")
+            out, start = [], 0
+            while start < len(keys):
+                if keys[start] != now:
+                    now, held, above = keys[start], [], {}
+                if part[start] == 0:
+                    low, high = bounds[start], bounds[start + 1]
+                    held.append((node[start], component[start], h[low:high].copy(), w[low:high].copy()))
+                    start += 1
+                    continue
+                stop = start + 1
+                while stop < len(keys) and keys[stop] == now:
+                    stop += 1
+                low, high = bounds[start], bounds[stop]
+                out += meet(node[start:stop], component[start:stop], h[low:high], w[low:high], bounds[start : stop + 1] - low)
+                start = stop
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
+
+    return dealt.repartition("key", "chunk", "block").sortWithinPartitions("key", "chunk", "block", "part").mapInArrow(run, "a binary, b binary")
+
+
+def linked_nodes(docs: DataFrame, signed: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """node, component of all nodes with a link.
 
     A bucket's hub is its member with the most company over all its buckets: of edited copies
-    the one nearest to their source. Buckets that still hold several components compare
-    the smaller ones' members with a few members of the largest, picked by hash, and at
-    last with all members that the distances to the hub don't rule out.
+    the one nearest to their source.
     """
     nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     exploded = nodes.select("node", F.explode("bands").alias("key"))
     counts = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(exploded.join(counts, "key").select("key", "node", "n"), "members")
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
-    hubs = members.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node"))["node"].alias("hub"))
-    pairs = members.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
-    needed = members.select("node").distinct()
-    texts = materialize(texts_of(docs, signed, needed), "texts")
-    first = materialize(compared(pairs, texts), "first")
-    linked = materialize(components(first.where(F.col("similarity") >= threshold)), "linked")
-    hubs = hubs.select("key", "hub")
-
-    def apart(linked: DataFrame) -> DataFrame:
-        """key, node, component of the members of buckets with several components."""
-        placed = members.select("key", "node").join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    profiles = materialize(nodes.join(members.groupBy("node").agg(F.sum("n").alias("company")), "node"), "profiles")
+    company = profiles.select("node", "company")
+    sets = materialize(sets_of(docs, signed, company.select("node")), "sets")
+
+    def meetings(placed: DataFrame) -> DataFrame:
+        """Pairs (a: a bucket's hub, b: a member of another component), each once, of placed (key, node, component, company)."""
+        hubs = placed.groupBy("key").agg(F.max(F.struct("company", "node", "component")).alias("hub"))
+        found = placed.join(hubs, "key").where(F.col("component") != F.col("hub.component"))
+        return materialize(found.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+
+    def apart(linked: DataFrame | None) -> DataFrame:
+        """key, node, component, company of the members of buckets with several components."""
+        placed = members.select("key", "node").join(company, "node")
+        if linked is None:
+            return placed.withColumn("component", F.col("node"))
+        placed = placed.join(linked, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "company")
         several = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
         return materialize(placed.join(several, "key", "left_semi"), "apart")
 
-    def unseen(found: DataFrame, *before: DataFrame) -> DataFrame:
-        both = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for old in before:
-            both = both.join(old.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        return both
-
-    mixed_buckets = apart(linked)
-    sizes = mixed_buckets.groupBy("key", "component").agg(F.count("*").alias("n"), *[F.min_by("node", F.xxhash64("key", "node", F.lit(i))).alias(f"p{i}") for i in range(PICKS)])
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "component", *[f"p{i}" for i in range(PICKS)])).alias("s"))
-    picked = largest.select("key", F.col("s.component").alias("c"), F.explode(F.array_distinct(F.array(*[F.col(f"s.p{i}") for i in range(PICKS)]))).alias("a"))
-    tried = mixed_buckets.join(picked, "key").where("component <> c").select("a", F.col("node").alias("b"))
-    second = materialize(compared(materialize(unseen(tried, pairs), "tried"), texts), "second")
-    seen = first.unionByName(second)
-    linked = materialize(components(seen.where(F.col("similarity") >= threshold)), "linked")
-
-    gap = 1 - threshold + 1e-9
-    distance = first.select(F.col("a").alias("hub"), F.col("b").alias("node"), (1 - F.col("similarity")).alias("far"))
-    rest = apart(linked).join(hubs, "key").where("node <> hub").join(distance, ["hub", "node"]).select("key", "node", "component", "far")
-    rest = materialize(rest, "rest")
-    # What a node shares with no other bounds its similarities; a node that shares too little has no link.
-    bounds = shared_weight(texts, rest.select("node").distinct()).where(F.col("shared") >= threshold * F.col("weight") - 1e-9)
-    rest = materialize(rest.join(bounds, "node"), "rest")
-    spans = rest.groupBy("key", "component").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.max("shared").alias("most"), F.min("weight").alias("least"))
-    p, q = spans.alias("p"), spans.alias("q")
-    may = lambda most, weights: most * (1 + threshold) >= threshold * weights - 1e-6
-    near = p.join(
-        q,
-        (F.col("p.key") == F.col("q.key"))
-        & (F.col("p.component") < F.col("q.component"))
-        & (F.col("p.low") - F.col("q.high") <= gap)
-        & (F.col("q.low") - F.col("p.high") <= gap)
-        & may(F.least("p.most", "q.most"), F.col("p.least") + F.col("q.least")),
-    )
-    near = near.select(F.col("p.key").alias("key"), F.col("p.component").alias("c"), F.col("q.component").alias("d"))
-    # A pair is looked at in the first bucket that both are in; being ruled out there holds everywhere.
-    side = rest.join(rest.groupBy("node").agg(F.collect_set("key").alias("keys")), "node")
-    x = side.select("key", F.col("component").alias("c"), F.col("node").alias("x"), F.col("far").alias("far_x"), F.col("shared").alias("shared_x"), F.col("weight").alias("weight_x"), F.col("keys").alias("keys_x"))
-    y = side.select("key", F.col("component").alias("d"), F.col("node").alias("y"), F.col("far").alias("far_y"), F.col("shared").alias("shared_y"), F.col("weight").alias("weight_y"), F.col("keys").alias("keys_y"))
-    more = near.join(x, ["key", "c"]).join(y, ["key", "d"])
-    first_bucket = F.col("key") == F.array_min(F.array_intersect("keys_x", "keys_y"))
-    more = more.where((F.abs(F.col("far_x") - F.col("far_y")) <= gap) & may(F.least("shared_x", "shared_y"), F.col("weight_x") + F.col("weight_y")) & first_bucket)
-    more = more.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    third = materialize(compared(materialize(unseen(more, seen), "more"), texts), "third")
-    everything = seen.unionByName(third)
-    if third.where(F.col("similarity") >= threshold).isEmpty():
-        return everything, linked
-    return everything, components(everything.where(F.col("similarity") >= threshold))
+    links = materialize(hub_links(meetings(apart(None)), sets, threshold), "links")
+    linked = materialize(components(links), "linked")
+    for turn in range(ROUNDS):
+        rest = apart(linked)
+        if rest.isEmpty():
+            return linked
+        # A part is what agrees in one more band, another one for each bucket and turn.
+        band = F.get("bands", F.pmod(F.xxhash64("key", F.lit(turn)), F.size("bands")).cast("int"))
+        cut = rest.join(profiles.select("node", "bands"), "node").select(F.xxhash64("key", band).alias("key"), "node", "component", "company")
+        links = links.unionByName(materialize(hub_links(meetings(cut), sets, threshold), "links"))
+        linked = materialize(components(links), "linked")
+    rest = apart(linked)
+    if rest.isEmpty():
+        return linked
+    more = materialize(outside_links(rest.select("key", "node", "component"), sets, threshold), "links")
+    return linked if more.isEmpty() else materialize(components(links.unionByName(more)), "linked")
 
 
 def placed(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """doc_id, node, component, class_id (the smallest doc_id of its class), class_size; a row per row of ``docs``."""
-    signed = materialize(signatures(docs), "signed")
-    _, linked = links(docs, signed, threshold)
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        signed = keep(materialize(signatures(docs), "signed"))
+        linked = keep(linked_nodes(docs, signed, threshold))
     named = signed.select("doc_id", "node").join(linked, "node", "left")
     alone = named.where("node IS NULL OR doc_id IS NULL").select("doc_id", "node", F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     rows = named.where("node IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
@@ -445,7 +502,8 @@ def dedup(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     Rows with a null id stay. Where several rows have an id without text, one of them stays.
     """
-    classes = materialize(placed(docs, threshold).drop("class_size"), "classes")
+    with scratch(docs.sparkSession) as keep:
+        classes = keep(materialize(placed(docs, threshold).drop("class_size"), "classes"))
     gone = classes.where("doc_id <> class_id").select("doc_id").distinct()
     twice = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     count = twice.count()
