@@ -2,10 +2,15 @@
 
 One automaton holds identifier tags and notice phrases as whole words. Behind an
 identifier tag the raw text is read as an expression with and, or, with and
-parentheses; ``labels`` gets the licenses it names, ``score`` how sure the notice is.
+parentheses; ``labels`` gets the licenses it names, ``score`` how sure the notice is: a tag
+counts only if a license was read behind it. Identifiers are those of ``IDENTIFIERS``, whose
+labels are the same as the notices' labels, and names that begin with LicenseRef-.
 
-Edge cases: a null text counts as empty; texts are read whole; repeated rows are read one
-by one; a malformed expression yields the identifiers before the fault.
+Edge cases: a null text counts as empty and has no words, places or labels (base_labels and
+labels are empty strings, score 0, permissive null); texts are read whole; repeated rows are read one
+by one; an expression yields the identifiers before its first fault, which an unknown identifier
+is as well; an empty table gives no rows; columns other than doc_id and text aren't read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -45,8 +50,67 @@ NOTICES = {
 }
 #: Words of an identifier tag; an expression follows it.
 TAGS = ("spdx license identifier",)
-#: Licenses without conditions on derived works.
-PERMISSIVE = frozenset({"mit", "apache-2", "apache-2.0", "bsd", "bsd-2-clause", "bsd-3-clause", "isc", "cc-by", "cc-by-4.0", "cc0", "cc0-1.0", "public-domain", "unlicense", "zlib"})
+# Fixed values of the domain: license identifiers (lower case, without -only, -or-later and +) and their labels.
+IDENTIFIERS = {
+    "0bsd": "0bsd",
+    "afl-3.0": "afl-3",
+    "agpl-3.0": "agpl",
+    "apache-1.1": "apache-1.1",
+    "apache-2.0": "apache-2",
+    "artistic-2.0": "artistic-2",
+    "bsd-2-clause": "bsd-2-clause",
+    "bsd-3-clause": "bsd-3-clause",
+    "bsl-1.0": "bsl",
+    "cc-by-3.0": "cc-by",
+    "cc-by-4.0": "cc-by",
+    "cc-by-nc-4.0": "cc-by-nc",
+    "cc-by-nc-nd-4.0": "cc-by-nc-nd",
+    "cc-by-nc-sa-4.0": "cc-by-nc-sa",
+    "cc-by-nd-4.0": "cc-by-nd",
+    "cc-by-sa-3.0": "cc-by-sa",
+    "cc-by-sa-4.0": "cc-by-sa",
+    "cc0-1.0": "cc0",
+    "cddl-1.0": "cddl",
+    "epl-1.0": "epl",
+    "epl-2.0": "epl",
+    "eupl-1.2": "eupl",
+    "gfdl-1.3": "gfdl",
+    "gpl-2.0": "gpl-2",
+    "gpl-3.0": "gpl-3",
+    "isc": "isc",
+    "lgpl-2.0": "lgpl",
+    "lgpl-2.1": "lgpl",
+    "lgpl-3.0": "lgpl",
+    "mit": "mit",
+    "mit-0": "mit-0",
+    "mpl-1.1": "mpl",
+    "mpl-2.0": "mpl",
+    "ms-pl": "ms-pl",
+    "ncsa": "ncsa",
+    "odbl-1.0": "odbl",
+    "ofl-1.1": "ofl",
+    "postgresql": "postgresql",
+    "psf-2.0": "psf",
+    "python-2.0": "python",
+    "unicode-dfs-2016": "unicode",
+    "unlicense": "unlicense",
+    "wtfpl": "wtfpl",
+    "zlib": "zlib",
+}
+# Fixed values of the domain: exceptions that may stand behind "with".
+EXCEPTIONS = (
+    "autoconf-exception-3.0",
+    "bison-exception-2.2",
+    "classpath-exception-2.0",
+    "font-exception-2.0",
+    "gcc-exception-3.1",
+    "linux-syscall-note",
+    "llvm-exception",
+    "openssl-exception",
+    "universal-foss-exception-1.0",
+)
+#: Labels of licenses without conditions on derived works.
+PERMISSIVE = frozenset({"0bsd", "afl-3", "apache-1.1", "apache-2", "artistic-2", "bsd", "bsd-2-clause", "bsd-3-clause", "bsl", "cc-by", "cc0", "isc", "mit", "mit-0", "ms-pl", "ncsa", "postgresql", "psf", "public-domain", "python", "unicode", "unlicense", "wtfpl", "zlib"})
 BASE_SURE, TAG_SURE = 0.95, 1.0
 
 #: A-Z become a-z, the other ASCII characters outside 0-9 and a-z become spaces, the rest stays.
@@ -58,10 +122,22 @@ _TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9][A-Za-z0-9.:+-]*))")
 _RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def label_of(identifier: str, exception: bool = False) -> str | None:
+    """The label of a license identifier, or the name of an exception; None if it isn't known."""
+    low = identifier.lower()
+    if exception:
+        return low if low in EXCEPTIONS else None
+    if low.startswith("licenseref-"):
+        return low
+    for end in ("-or-later", "-only", "+"):
+        low = low.removesuffix(end)
+    return IDENTIFIERS.get(low)
+
+
 def expression(text: str) -> tuple[list, bool]:
     """Postfix form of a license expression by shunting-yard, and whether all of it was read.
 
-    Operands are lower-case identifiers, operators the words and, or, with.
+    Operands are labels and names of exceptions, operators the words and, or, with.
     """
     out, stack, at, operand = [], [], 0, True
     whole = True
@@ -79,8 +155,8 @@ def expression(text: str) -> tuple[list, bool]:
                 out.append((stack.pop(),))
             stack.append(low)
             operand = True
-        elif word and low not in _RANK and operand:
-            out.append(low)
+        elif word and low not in _RANK and operand and (label := label_of(word, bool(stack) and stack[-1] == "with")):
+            out.append(label)
             operand = False
         else:
             whole = False
@@ -151,19 +227,22 @@ def read(text: str, machine) -> tuple[int, list[tuple[int, str]], list[str], flo
         seen += line.count(" ", at, start) if start >= at else -line.count(" ", start, at)
         at = start
         for kind, label, sure in what:
+            if kind == "tag":
+                tag = True
+                continue
             doubt *= 1 - sure
             if kind == "base":
                 places.append((seen - 1, label))
-            elif kind == "tag":
-                tag = True
             if label:
                 labels.add(label)
                 met &= label in PERMISSIVE
     if tag:
         for m in _TAG.finditer(text):
             postfix = expression(m[1])[0]
-            labels.update(identifiers(postfix))
-            met &= evaluate(postfix, PERMISSIVE)
+            if named := identifiers(postfix):
+                labels.update(named)
+                met &= evaluate(postfix, PERMISSIVE)
+                doubt *= 1 - TAG_SURE
     return len(words), places, sorted(labels), 1 - doubt, met if labels else None
 
 

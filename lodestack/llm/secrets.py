@@ -7,7 +7,9 @@ marginal size comes near the entropy of random strings of their alphabet. Every
 candidate is compressed, also letters alone; a long word of prose in such a place can be
 reported too.
 
-Edge cases: a null text counts as empty (no spans); texts are scanned whole; repeated
+Edge cases: a null text counts as empty (no spans, counts 0, the digest of an empty string) and
+stays null when spans are masked; an empty table gives no rows; columns other than doc_id and text aren't
+read by the report, and the mask leaves them as they are; texts are scanned whole; repeated
 rows are scanned one by one; an overlap of kinds is reported for each kind; of a novel
 token only what no base span covers is reported; it is reported whole if one of its
 pieces is novel; a token without quotes is of ASCII and Latin characters.

@@ -182,6 +182,9 @@ LICENSES = [
     "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause\nnext",
     "SPDX-License-Identifier: MIT AND AND x",
     "under the mit licenses; the GNU General Public License, version 3",
+    "every file needs an SPDX License Identifier in its head",
+    "SPDX-License-Identifier: foo",
+    "Apache License, Version 2.0\nSPDX-License-Identifier: Apache-2.0 OR gpl-3.0-or-later OR bar",
 ]
 
 
@@ -195,14 +198,16 @@ def test_licenses(spark, docs, empty):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(places), min(at, default=None), max(at, default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
-    assert found[202].labels == "bsd-3-clause,gpl-2.0-only-with-classpath-exception-2.0,mit"
+    assert found[202].labels == "bsd-3-clause,gpl-2-with-classpath-exception-2.0,mit" and found[202].score == 1.0
+    assert (found[205].labels, found[205].score, found[205].permissive) == (found[206].labels, found[206].score, found[206].permissive) == ("", 0.0, None)
+    assert found[207].labels == "apache-2,gpl-3" and found[207].base_labels == "apache-2" and found[207].permissive
     assert found[203].labels == "mit" and found[204].labels == "gpl-3" and licenses.license_report(empty).count() == 0
 
 
 def test_expressions():
     post, whole = licenses.expression("(MIT or Apache-2.0) and GPL-2.0 with Classpath-exception-2.0")
-    assert whole and post == ["mit", "apache-2.0", ("or",), "gpl-2.0", "classpath-exception-2.0", ("with",), ("and",)]
-    assert licenses.evaluate(post, frozenset({"mit", "gpl-2.0"})) and not licenses.evaluate(post, frozenset({"mit"}))
+    assert whole and post == ["mit", "apache-2", ("or",), "gpl-2", "classpath-exception-2.0", ("with",), ("and",)]
+    assert licenses.evaluate(post, frozenset({"mit", "gpl-2"})) and not licenses.evaluate(post, frozenset({"mit"}))
     assert not licenses.expression("MIT and (GPL")[1] and licenses.expression(")")[0] == []
 
 
