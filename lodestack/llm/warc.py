@@ -7,6 +7,10 @@ both with an incremental SHA-256, so neither holds more than a chunk of a record
 Of records with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the
 smallest page_id is written as response, the others as revisits of it.
 
+Every record has an identifier of its own, made of its page_id, digest and place in the input, and
+a revisit names its response's. Places are those of the scan, which the digests and the writer
+read alike; of an input that is no table of files write it first.
+
 Files get a new name per task attempt; only those in the manifest, a table in the shared
 folder, belong to the archive, so repeated or lost attempts leave no records behind.
 
@@ -22,6 +26,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +36,9 @@ from lodestack.llm.common import shared_path
 CHUNK_BYTES, LEAST_REVISIT, ARCHIVE_BYTES = 64 * 1024, 100, 256 * 1024 * 1024
 #: Duplicated payloads that may be broadcast, about 80 bytes each; with more, both sides are shuffled.
 BROADCAST_PAYLOADS = 50_000
-DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
-CHUNKS = "page_id long, record_type string, refers_to long, declared string, chunk_no long, data binary, payload_bytes long, payload_digest string, last boolean"
+CHUNKS = "record_id string, page_id long, record_type string, refers_to long, declared string, chunk_no long, data binary, payload_bytes long, payload_digest string, last boolean"
 
 
 def open_store(uri: str):
@@ -44,20 +48,20 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>"
+def record_id(page_id: int | None, digest: str, place: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{page_id}:{digest}:{place}')}>"
 
 
 def chunk_table(pages: DataFrame, least: int = LEAST_REVISIT, chunk: int = CHUNK_BYTES) -> DataFrame:
-    """page_id, url, digest, payload_bytes, first_id, chunk_no, data; a record's rows follow each other.
+    """page_id, place, url, digest, payload_bytes, first_id, first_place, chunk_no, data; a record's rows follow each other.
 
-    ``first_id``: the record to revisit, null for a response, which alone has data.
+    ``first_id``: the page to revisit, null for a response, which alone has data.
     """
     payload = F.coalesce(pages["html"], F.lit("")).cast("binary")
-    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"], payload.alias("payload"))
+    rows = pages.select(pages["page_id"].cast("long").alias("page_id"), F.monotonically_increasing_id().alias("place"), pages["url"], payload.alias("payload"))
     rows = rows.select("*", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
-    first = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").select(F.col("digest").alias("__digest"), "first_id")
+    first = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "place"))).alias("first"), F.count("*").alias("n"))
+    first = first.where("n > 1").select(F.col("digest").alias("__digest"), F.col("first.page_id").alias("first_id"), F.col("first.place").alias("first_place"))
     path = shared_path(pages.sparkSession, "payloads")
     first.write.parquet(path)
     first = pages.sparkSession.read.schema(first.schema).parquet(path)
@@ -65,27 +69,27 @@ def chunk_table(pages: DataFrame, least: int = LEAST_REVISIT, chunk: int = CHUNK
     joined = rows.join(first, F.col("digest") == F.col("__digest"), "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     pieces = F.when(revisit, 0).otherwise(F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk) - 1)).cast("int")
-    named = joined.select("page_id", "url", "digest", "payload_bytes", F.when(revisit, F.col("first_id")).alias("first_id"), "payload", F.explode(F.sequence(F.lit(0), pieces)).alias("chunk_no"))
+    named = joined.select("page_id", "place", "url", "digest", "payload_bytes", F.when(revisit, F.col("first_id")).alias("first_id"), "first_place", "payload", F.explode(F.sequence(F.lit(0), pieces)).alias("chunk_no"))
     data = F.when(F.col("first_id").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return named.select("page_id", "url", "digest", "payload_bytes", "first_id", "chunk_no", data.alias("data"))
+    return named.select("page_id", "place", "url", "digest", "payload_bytes", "first_id", "first_place", "chunk_no", data.alias("data"))
 
 
 def http_head(payload_bytes: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
 
 
-def header(page_id: int | None, url: str | None, digest: str, payload_bytes: int, first_id: int | None) -> bytes:
+def header(page_id: int | None, place: int, url: str | None, digest: str, payload_bytes: int, first_id: int | None, first_place: int | None, date: str) -> bytes:
     """A record's WARC header, and for a response the head of its HTTP message."""
     target = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
     head = b"" if first_id is not None else http_head(payload_bytes)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if first_id is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: {record_id(page_id, digest, place)}",
+        f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {target}"] if target else []),
         f"WARC-Payload-Digest: sha256:{digest}",
-        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first_id)}", f"X-Refers-To-Page: {first_id}"] if first_id is not None else []),
+        *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(first_id, digest, first_place)}", f"X-Refers-To-Page: {first_id}"] if first_id is not None else []),
         *([f"X-Page: {page_id}"] if page_id is not None else []),
         f"X-Payload-Length: {payload_bytes}",
         "Content-Type: application/http; msgtype=response",
@@ -96,8 +100,12 @@ def header(page_id: int | None, url: str | None, digest: str, payload_bytes: int
     return "\r\n".join(lines).encode() + head
 
 
-def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes the chunk table as .warc.gz files, a gzip member per record; the manifest (archive, records, bytes)."""
+def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, date: datetime | None = None) -> DataFrame:
+    """Writes the chunk table as .warc.gz files, a gzip member per record; the manifest (archive, records, bytes).
+
+    ``date``: when the pages were fetched, by default now.
+    """
+    written = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches):
         import pyarrow as pa
@@ -116,7 +124,7 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns)]
             for i in range(batch.num_rows):
-                page_id, url, sha, payload_bytes, first_id, chunk_no, data = (c[i].as_py() for c in columns)
+                page_id, place, url, sha, payload_bytes, first_id, first_place, chunk_no, data = (c[i].as_py() for c in columns)
                 if chunk_no == 0:
                     if file is not None and size >= archive_bytes:
                         file.close()
@@ -127,7 +135,7 @@ def write_archives(chunks: DataFrame, folder: str, archive_bytes: int = ARCHIVE_
                         store.create_dir(base, recursive=True)
                         file = store.open_output_stream(f"{base}/{name}", compression=None)
                     squeeze = zlib.compressobj(6, zlib.DEFLATED, 31)
-                    put(squeeze.compress(header(page_id, url, sha, payload_bytes, first_id)))
+                    put(squeeze.compress(header(page_id, place, url, sha, payload_bytes, first_id, first_place, written)))
                     digest, wanted, left = hashlib.sha256(), sha, payload_bytes if first_id is None else 0
                 if first_id is None and data:
                     digest.update(data)
@@ -225,8 +233,8 @@ def read_archives(manifest: DataFrame, folder: str, with_data: bool = True) -> D
     def run(batches):
         import pyarrow as pa
 
-        names = ["page_id", "record_type", "refers_to", "declared", "chunk_no", "data", "payload_bytes", "payload_digest", "last"]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+        names = ["record_id", "page_id", "record_type", "refers_to", "declared", "chunk_no", "data", "payload_bytes", "payload_digest", "last"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
         rows: list[tuple] = []
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=names)
         number = lambda fields, name: int(fields[name]) if name in fields else None
@@ -236,7 +244,7 @@ def read_archives(manifest: DataFrame, folder: str, with_data: bool = True) -> D
                 with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for fields, pieces in records(stream):
                         declared = fields["warc-payload-digest"].partition(":")[2]
-                        head = (number(fields, "x-page"), fields["warc-type"], number(fields, "x-refers-to-page"), declared)
+                        head = (fields["warc-record-id"], number(fields, "x-page"), fields["warc-type"], number(fields, "x-refers-to-page"), declared)
                         if fields["warc-type"] == "revisit":
                             rows.append((*head, 0, None, int(fields["x-payload-length"]), declared, True))
                         else:
@@ -248,7 +256,7 @@ def read_archives(manifest: DataFrame, folder: str, with_data: bool = True) -> D
                                 size += len(part)
                                 data = part
                             if digest.hexdigest() != declared:
-                                raise ValueError(f"payload of page {head[0]} isn't what its digest says")
+                                raise ValueError(f"payload of record {head[0]} isn't what its digest says")
                             rows.append((*head, max(k, 0), data if with_data else None, size, digest.hexdigest(), True))
                         if len(rows) >= (64 if with_data else 4096):
                             yield flush()
