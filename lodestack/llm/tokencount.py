@@ -1,6 +1,7 @@
 """Token counts with a digest cache.
 
-The cache is a table of content digest, tokenizer digest and count in the shared folder.
+The cache is a table of content digest, tokenizer digest and count in the shared folder, and
+stays there: later calls encode only texts that no call before has seen.
 Texts are joined to it by both digests; each distinct text without a count is encoded once,
 and the new counts are appended. The content digest is SHA-256 of the text with null read
 as empty; nothing else may be normalised, since counts depend on every character.
@@ -20,11 +21,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import map_texts, shared_path, tokenizer_file
+from lodestack.llm.common import map_texts, shared_dir, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -105,14 +106,15 @@ def cached(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(cache) if there else spark.createDataFrame([], SCHEMA)
 
 
-def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, content; a row per row of ``docs``.
+def counted(docs: DataFrame, columns: list[Column], cache: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """``columns`` of ``docs``, content (digest) and n_tokens; a row per row of ``docs``.
 
-    ``cache``: where counts are kept between calls; by default a new place in the shared folder.
+    ``cache``: where counts are kept between calls; by default one place in the shared folder for each
+    tokenizer digest.
     """
     spark = docs.sparkSession
-    cache = cache or shared_path(spark, "token-cache")
     version = tokenizer_digest(tokenizer)
+    cache = cache or f"{shared_dir(spark)}/lodestack-token-counts-{version[:16]}"
     text = F.coalesce(docs["text"], F.lit(""))
     content = F.sha2(text.cast("binary"), 256)
     rows = docs.select(docs["doc_id"], content.alias("content"), text.alias("text"))
@@ -127,6 +129,12 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = TOK
     new = map_texts(misses, ["content"], [T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())], make)
     new.write.mode("append").parquet(cache)
     counts = spark.read.schema(SCHEMA).parquet(cache).where(F.col("tokenizer") == version).groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
-    sized = docs.select(docs["doc_id"], content.alias("content"), F.octet_length(text).cast("long").alias("n_bytes"))
-    out = sized.join(counts, "content")
-    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content")
+    rows = docs.select(*columns, content.alias("__content"))
+    return rows.join(counts, F.col("__content") == F.col("content")).drop("__content")
+
+
+def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit, content; a row per row of ``docs``. ``cache`` as in ``counted``."""
+    n_bytes = F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long")  # before the join, which texts don't pass
+    rows = counted(docs, [docs["doc_id"], n_bytes.alias("n_bytes")], cache, tokenizer)
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content")
