@@ -5,8 +5,8 @@ source's repetition rate is target over size. A document is taken floor(rate) ti
 and once more if the hash of its id and the seed falls below the rate's fraction.
 
 Edge cases: a null text has size 0 and a source of size 0 has target 0; the null source
-is a source of its own and comes last; rows with the same doc_id in a source fall alike;
-other columns, also ones named as those made here, stay as they are in ``mix``.
+is a source of its own and comes last; rows with the same doc_id in a source fall alike; an
+empty table gives no rows; other columns, also ones named as those made here, stay as they are in ``mix``.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ flattened into numpy node arrays, and scored for whole batches at once. Splits o
 chosen features are monotonic: more symbols, repeated lines, repeated words or
 capitals never raise a document's quality.
 
-Edge cases: a null text counts as empty (no words, fails the base rule); texts of
+Edge cases: an empty table gives no rows; rows with a null id are judged like others and fit no
+trees; a null text counts as empty (no words, fails the base rule); texts of
 any length are read whole; repeated rows and ids are scored row by row; without
 labels of both classes the verdict is the base rule's alone; other columns of the
 input are not read by ``quality_report`` and are carried along by ``quality_filter``.
@@ -251,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         [T.StructField("x", T.ArrayType(T.DoubleType(), False), True)],
         lambda: lambda texts: [statistics(texts)[1].tolist()],
     )
-    found = sorted((r.doc_id, r["__quality"], r.x) for r in sample.limit(sample_rows).collect())
+    first = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample_rows)  # of repeated ids always the same rows
+    found = sorted((r.doc_id, r["__quality"], r.x) for r in first.collect())
     if not found:
         return None
     y = np.array([float(r[1] > 0) for r in found])
