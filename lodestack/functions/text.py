@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from lodestack import schemas
 
-# Fixed values of the domain: marks of list items, page numbers, captions, sentence ends.
-_MARK = r"(?:[\x{2022}\x{25CF}\x{25AA}\x{25E6}\x{2023}\x{2219}\x{B7}\x{2013}\x{2014}*-]|\d{1,3}[.)]|\(\d{1,3}\)|[a-z]\)|\([a-z]\))"
+# Fixed values of the domain: page numbers, marks of list items, captions, ends and breaks of sentences, markdown.
+# Python and the JVM both read these patterns; \s, \d and \w stand for Unicode's classes (see ``wide``).
+PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$"
+_MARK = r"(?:[•●▪◦‣∙·\-–—*]|\d{1,3}[.)]|\(\d{1,3}\)|[a-z]\)|\([a-z]\))"
 LIST_MARK = rf"^\s*{_MARK}\s+"
 MARK_ONLY = rf"^\s*{_MARK}\s*$"
-PAGE_NUMBER = r"(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$"
-_NAMED = r"(?i)^(?:table|tab\.|figure|fig\.|chart|exhibit)\s*[A-Z]?\d+"
-CAPTION = _NAMED
-CAPTION_SEPARATED = _NAMED + r"[a-z]?\s*[.:\x{2013}\x{2014}-]"
-SENTENCE_FINAL = r"[.!?\x{2026}\"\x{201D}\x{2019}]$"
-SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9\"\x{201C}(\[])"
+CAPTION = r"(?i)^(?:table|tab\.|figure|fig\.|chart|exhibit)\s*[A-Z]?\d+"
+CAPTION_SEPARATED = r"(?i)^(?:table|tab\.|figure|fig\.|chart|exhibit)\s*[A-Z]?\d+[a-z]?\s*[.:–—-]"
+CAPTION_CHARS = 300
+SENTENCE_BREAK = r"(?<=[.!?])\s+(?=[A-Z0-9\"“(\[])"
+SENTENCE_FINAL = r"[.!?…\"”’]$"
+MD_HEADING = r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$"
+MD_RULE_CELL = r"^:?-{2,}:?$"
+MD_EMPHASIS = r"[*_`]+"
+MD_FENCE = r"(?s)^```(?:markdown|md)?\s*\n(.*?)\n?```$"
+FIGURE_LABEL = "[Text and data from a figure/image on this page]\n"
+
+
+def wide(pattern: str) -> str:
+    """The pattern for the JVM with Unicode's classes, as Python reads it."""
+    return f"(?U){pattern}"
+
+
+def strip(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, wide(r"^\s+|\s+$"), "")
 
 
 @F.pandas_udf(StringType())
@@ -25,10 +45,17 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def nfkc_cells(rows: pd.Series) -> pd.Series:
+    """``nfkc`` of each cell of a grid; null cells are empty."""
+    cell = lambda c: c if c.isascii() else unicodedata.normalize("NFKC", c)
+    return rows.map(lambda r: None if r is None else [[cell(c or "") for c in x] if x is not None else [] for x in r])
+
+
 def squeeze(text: Column) -> Column:
     """``clean`` without the normalisation: exact for text that NFKC leaves alone."""
     bare = F.regexp_replace(text, "[\\x{00AD}\\x{0000}]", "")
-    return F.regexp_replace(F.regexp_replace(bare, "[ \\t\\x{00A0}]+", " "), "^(?U)\\s+|(?U)\\s+$", "")
+    return strip(F.regexp_replace(bare, "[ \\t\\x{00A0}]+", " "))
 
 
 def clean(text: Column) -> Column:
@@ -47,8 +74,8 @@ def join_lines(lines: Column) -> Column:
 
 
 def norm_title(text: Column) -> Column:
-    """Lower-case words of a title with single spaces between."""
-    return F.trim(F.regexp_replace(F.lower(text), "(?U)[\\W_]+", " "))
+    """Lower-case words of a title (NFKC) with single spaces between."""
+    return F.trim(F.regexp_replace(F.lower(nfkc(text)), wide(r"[\W_]+"), " "))
 
 
 def half_points(size: Column) -> Column:
@@ -58,34 +85,33 @@ def half_points(size: Column) -> Column:
 
 def furniture_key(text: Column) -> Column:
     """Lower case, numbers as #, single spaces, stripped."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), wide(r"\d+"), "#"), wide(r"\s+"), " "))
 
 
 def is_page_number(text: Column) -> Column:
-    return text.rlike(PAGE_NUMBER)
+    return text.rlike(wide(PAGE_NUMBER))
 
 
 def is_list_item(text: Column) -> Column:
-    return text.rlike(LIST_MARK)
+    return text.rlike(wide(LIST_MARK))
 
 
 def is_mark_only(text: Column) -> Column:
-    return text.rlike(MARK_ONLY)
+    return text.rlike(wide(MARK_ONLY))
 
 
 def is_caption(text: Column, separated: bool = False) -> Column:
-    return text.rlike(CAPTION_SEPARATED) & (F.length(text) <= 300) if separated else text.rlike(CAPTION)
+    return text.rlike(wide(CAPTION_SEPARATED)) & (F.length(text) <= CAPTION_CHARS) if separated else text.rlike(wide(CAPTION))
 
 
 def continues(previous: Column, text: Column) -> Column:
-    """Whether ``text`` goes on with the paragraph before: a broken word, or no sentence end and a small letter."""
-    small = text.rlike("^\\p{Ll}")
-    return F.coalesce((previous.rlike("-$") | ~F.rtrim(previous).rlike(SENTENCE_FINAL)) & small, F.lit(False))
+    """Whether ``text`` goes on with the paragraph before: a small letter, and no sentence end (a hyphen is none) before it."""
+    return F.coalesce(~F.rtrim(previous).rlike(SENTENCE_FINAL) & text.rlike("^\\p{Ll}"), F.lit(False))
 
 
 def sentences(text: Column) -> Column:
     """Sentences: cut at white space behind . ! ? and before a capital, a digit or an opening mark."""
-    return F.split(text, SENTENCE_BREAK)
+    return F.split(text, wide(SENTENCE_BREAK))
 
 
 def tokens(text: Column) -> Column:
@@ -94,16 +120,25 @@ def tokens(text: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """The content of a ``` fence (with md or markdown behind it or nothing), else the text, stripped."""
-    inner = F.regexp_extract(text, "(?s)^\\s*```(?:markdown|md)?[ \\t]*\\n(.*?)\\n?```\\s*$", 1)
-    return F.regexp_replace(F.when(inner != "", inner).otherwise(text), "^\\s+|\\s+$", "")
+    """The content of a ``` fence (with md or markdown behind it or nothing), also an empty one, else the text, stripped."""
+    bare = strip(text)
+    return F.when(bare.rlike(wide(MD_FENCE)), F.regexp_extract(bare, wide(MD_FENCE), 1)).otherwise(bare)
+
+
+def markdown_title(line: Column) -> Column:
+    """Title of a # heading's line without emphasis marks and closing #; it may be empty."""
+    return clean(F.regexp_replace(F.regexp_extract(line, wide(MD_HEADING), 2), MD_EMPHASIS, ""))
 
 
-def markdown_headings(text: Column) -> Column:
-    """Array of (level, title) of # headings: up to 3 spaces before, closing # and emphasis marks removed."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("^ {0,3}#{1,6}\\s+\\S"))
-    title = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, "^ {0,3}#{1,6}\\s+(.*)$", 1), "\\s#+\\s*$", ""), "[*_`]", ""))
-    return F.transform(lines, lambda x: F.struct(F.length(F.regexp_extract(x, "^ {0,3}(#{1,6})", 1)).alias("level"), title(x).alias("title")))
+def markdown_level(line: Column) -> Column:
+    return F.length(F.regexp_extract(line, wide(MD_HEADING), 1))
+
+
+def markdown_headings(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` without ``text``, with line, level and title of each # heading that has a title."""
+    lines = F.split(strip_fence(F.col(text)), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")
+    found = rows.select(*[c for c in rows.columns if c != text], F.posexplode(lines).alias("line", "__line")).where(F.col("__line").rlike(wide(MD_HEADING)))
+    return found.withColumn("level", markdown_level(F.col("__line"))).withColumn("title", markdown_title(F.col("__line"))).drop("__line").where("title <> ''")
 
 
 def let(value: Column, body) -> Column:
@@ -113,8 +148,8 @@ def let(value: Column, body) -> Column:
 
 def clean_grid(rows: Column) -> Column:
     """Cells on one line with pipes escaped; no empty rows or columns; rows padded on the right."""
-    cell = lambda c: F.replace(squeeze(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\r\\n]+", " ")), F.lit("|"), F.lit("\\|"))
-    filled = F.filter(F.transform(rows, lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda c: c != ""))
+    cell = lambda c: F.replace(squeeze(F.replace(c, F.lit("\n"), F.lit(" "))), F.lit("|"), F.lit("\\|"))
+    filled = F.filter(F.transform(nfkc_cells(rows), lambda r: F.transform(r, cell)), lambda r: F.exists(r, lambda c: c != ""))
     # The columns with text, as an array of flags that grows with the widest row.
     flags = lambda grid: F.aggregate(grid, F.array().cast("array<boolean>"), lambda a, r: F.zip_with(a, r, lambda x, c: F.coalesce(x, F.lit(False)) | F.coalesce(c != "", F.lit(False))))
     kept = lambda grid, some: F.transform(grid, lambda r: F.transform(F.filter(F.zip_with(some, r, lambda x, c: F.struct(x.alias("x"), F.coalesce(c, F.lit("")).alias("c"))), lambda z: z["x"]), lambda z: z["c"]))
@@ -143,10 +178,12 @@ def render_table(grid: Column, caption: Column | None = None, continued: bool =
 
 
 def parse_markdown_table(lines: Column) -> Column:
-    """Grid of markdown table lines: outer pipes off, cut at plain pipes, unescaped, without the rule."""
-    plain = F.filter(lines, lambda x: ~x.rlike("^\\s*\\|?\\s*:?-{2,}:?\\s*(?:\\|\\s*:?-{2,}:?\\s*)*\\|?\\s*$"))
-    inner = lambda x: F.regexp_replace(F.trim(x), "^\\||(?<!\\\\)\\|$", "")
-    return clean_grid(F.transform(plain, lambda x: F.transform(F.split(inner(x), "(?<!\\\\)\\|"), lambda c: F.regexp_replace(F.trim(c), "\\\\\\|", "|"))))
+    """Clean grid of markdown table lines: outer pipes off, cut at plain pipes, unescaped, without the rule."""
+    inner = lambda x: F.regexp_replace(strip(x), r"^\||(?<!\\)\|$", "")
+    cells = F.transform(lines, lambda x: F.transform(F.split(inner(x), r"(?<!\\)\|", -1), lambda c: F.replace(strip(c), F.lit("\\|"), F.lit("|"))))
+    # A rule has a cell with text, and all such cells are dashes.
+    rule = lambda r: F.exists(r, lambda c: c != "") & F.forall(r, lambda c: (c == "") | c.rlike(MD_RULE_CELL))
+    return clean_grid(F.filter(cells, lambda r: ~rule(r)))
 
 
 def contextualized(body: Column, breadcrumb: Column, page_start: Column, page_end: Column, kind: Column) -> tuple[Column, Column]:
@@ -159,8 +196,51 @@ def contextualized(body: Column, breadcrumb: Column, page_start: Column, page_en
     return F.concat(prefix, body), F.length(prefix)
 
 
+def valid_name(name: Column) -> Column:
+    """1 to 80 characters, not white space alone."""
+    return F.length(name).between(1, 80) & (strip(name) != "")
+
+
+def valid_password(password: Column, new: bool = True) -> Column:
+    """12 to 128 characters for a new account, 1 to 128 to sign in."""
+    return F.length(password).between(12 if new else 1, 128)
+
+
+def asked(question: Column) -> Column:
+    """Whether a question holds more than white space."""
+    return F.coalesce(strip(question) != "", F.lit(False))
+
+
+def elapsed(seconds: Column) -> Column:
+    """Seconds rounded to milliseconds, ties to even."""
+    return F.bround(seconds, 3)
+
+
+def document_key(chunk_id: Column, page: Column, content: Column) -> Column:
+    """The chunk id, or for rows without one their page and the hash of their content."""
+    other = F.concat(F.coalesce(page.cast("string"), F.lit("None")), F.lit(":"), F.sha2(content, 256))
+    return F.coalesce(F.nullif(chunk_id, F.lit("")), other)
+
+
+def new_id() -> Column:
+    """A random UUID, another one for each row and run."""
+    return F.uuid()
+
+
+def sources_json(page: Column, page_end: Column, section: Column, kind: Column, excerpt: Column) -> Column:
+    """A citation as an entry of a message's sources; collect and serialise them with ``to_json``."""
+    return F.struct(page.cast("int").alias("page"), page_end.cast("int").alias("page_end"), section.alias("section"), kind.alias("type"), excerpt.alias("excerpt"))
+
+
+def ocr_json(response: Column) -> Column:
+    """Pages (page, markdown without its fence) of a model's JSON, an object with pages or a bare list; null if it is neither."""
+    pages = F.coalesce(F.from_json(response, schemas.OCR_RESPONSE)["pages"], F.from_json(response, schemas.OCR_PAGES))
+    bad = F.exists(pages, lambda p: p["page"].isNull())
+    return F.when(~bad, F.transform(pages, lambda p: F.struct(p["page"].alias("page"), strip_fence(F.coalesce(p["markdown"], F.lit(""))).alias("markdown"))))
+
+
 def valid_email(email: Column) -> Column:
-    tidy = F.lower(F.trim(email))
+    tidy = F.lower(strip(email))
     return tidy.rlike("^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$") & F.length(tidy).between(3, 254)
 
 

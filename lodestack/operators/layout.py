@@ -54,13 +54,12 @@ def reading_order(blocks: DataFrame, width: Column) -> DataFrame:
     wide, left = F.col("x1") - F.col("x0") > width * 0.6, (F.col("x0") + F.col("x1")) / 2 < width / 2
     rows = blocks.withColumn("__side", F.when(wide, 0).when(left, 1).otherwise(2))
     page = Window.partitionBy("doc_id", "page")
-    down = page.orderBy("y0", "x0", "pos")
-    tied = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # Blocks that start at the same height are beside each other whichever comes first.
-    near = page.orderBy("y0").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    low = lambda side: F.max(F.when(F.col("__side") == side, F.col("y1"))).over(near)
+    tied = page.orderBy("y0", "x0", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of blocks that start at the same height those without height come first: nothing that starts there is beside them.
+    above = page.orderBy("y0", "y1", "x0", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    low = lambda side: F.max(F.when(F.col("__side") == side, F.col("y1"))).over(above)
     other = F.when(F.col("__side") == 1, low(2)).when(F.col("__side") == 2, low(1))
-    rows = rows.withColumn("__beside", F.coalesce((F.col("y0") < other) & (F.col("y1") > F.col("y0")), F.lit(False)))
+    rows = rows.withColumn("__beside", F.coalesce(F.col("y0") < other, F.lit(False)))
     rows = rows.withColumn("__seg", F.sum((F.col("__side") == 0).cast("int")).over(tied))
     two = (F.count_if(F.col("__side") == 1).over(page) >= 2) & (F.count_if(F.col("__side") == 2).over(page) >= 2) & F.max("__beside").over(page)
     rows = rows.withColumn("__two", two)
@@ -82,6 +81,16 @@ def insert_positions(items: DataFrame, flow: DataFrame) -> DataFrame:
     return rows.groupBy(*[F.col(f"i.{c}").alias(c) for c in items.columns]).agg(F.min("f.p").alias("before_pos"))
 
 
+def page_chars(blocks: DataFrame, pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """doc_id, page, chars of ``pages``: characters of the blocks (without furniture) and of all cells of tables; 0 for none."""
+    parts = blocks.select("doc_id", "page", F.col("chars").cast("long").alias("n"))
+    if tables is not None:
+        cells = F.transform(F.flatten("rows"), lambda c: F.length(c))
+        parts = parts.unionByName(tables.select("doc_id", "page", F.aggregate(cells, F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n, F.lit(0))).alias("n")))
+    sums = parts.groupBy("doc_id", "page").agg(F.sum("n").alias("chars"))
+    return pages.select("doc_id", "page").join(sums, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("chars", F.lit(0)).alias("chars"))
+
+
 def image_coverage(images: DataFrame, config: ChunkingConfig = CONFIG) -> DataFrame:
     """doc_id, page, image_coverage, biggest_image, first_y from clipped images (x0..y1, width, height); tiny ones don't count."""
     clip = lambda c, m: F.least(F.greatest(F.col(c), F.lit(0.0)), F.col(m))
