@@ -41,6 +41,16 @@ def list_sessions(sessions: DataFrame, user_id=None) -> DataFrame:
     return (sessions if user_id is None else owned(sessions, user_id)).orderBy(F.col("updated_at").desc(), "session_id")
 
 
+def session_count(sessions: DataFrame, user_id=None) -> DataFrame:
+    """sessions: how many there are, of one user or of all."""
+    return (sessions if user_id is None else owned(sessions, user_id)).agg(F.count("*").alias("sessions"))
+
+
+def get_session(sessions: DataFrame, session_id, user_id) -> DataFrame:
+    """The session if the user owns it; no row otherwise."""
+    return owned(sessions, user_id).where(F.col("session_id") == session_id)
+
+
 def search_sessions(sessions: DataFrame, text: str) -> DataFrame:
     """Sessions whose name holds the trimmed text in any case, taken literally."""
     return sessions.where(F.contains(F.lower("doc_name"), F.lower(F.trim(F.lit(text)))))
@@ -86,6 +96,11 @@ def current_users(users: DataFrame, auth_sessions: DataFrame, token_hashes: Data
     return live.join(users, live["user_id"] == users["id"]).select("token_hash", "id", "name", "email")
 
 
+def revoke_token(auth_sessions: DataFrame, token: str) -> DataFrame:
+    """``auth_sessions`` without the one of a token, which is stored as its SHA-256."""
+    return auth_sessions.where(~F.col("token_hash").eqNullSafe(F.sha2(F.lit(token), 256)))
+
+
 def rotate_tokens(auth_sessions: DataFrame, revoked: DataFrame, issued: DataFrame, now: Column) -> DataFrame:
     """Without expired and revoked tokens, with the issued ones."""
     return auth_sessions.where(F.col("expires_at") > now).join(revoked.select("token_hash"), "token_hash", "left_anti").unionByName(issued)

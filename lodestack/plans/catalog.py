@@ -11,6 +11,7 @@ from lodestack.functions import geometry, text
 from lodestack.operators import chunking, context, history, layout, limits, ocr_plan, retrieval, structure
 from lodestack.plans import flows
 from lodestack.sources import adapters, tables
+from lodestack.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -364,9 +365,13 @@ def page_ranges(t: Tables) -> DataFrame:
     o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mode = 'figures', page) - 1 AS place FROM m WHERE mode IS NOT NULL)
     SELECT doc_id, page, mode, CAST(place AS INTEGER) AS place, place < 24 AS wanted FROM o""")
 def ocr_pages(t: Tables) -> DataFrame:
+    return ocr_plan.plan(lineitem_pages(t)).withColumn("place", F.col("place").cast("int"))
+
+
+def lineitem_pages(t: Tables) -> DataFrame:
+    """A page per supplier and order, with made-up characters and images."""
     big = F.when(F.col("l_discount") >= 0.03, F.col("l_discount"))
-    pages = t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_orderkey").cast("int").alias("page")).agg(F.sum(F.col("l_quantity").cast("long")).alias("chars"), F.least(F.sum(big), F.lit(1.0)).alias("image_coverage"), F.max(big).alias("biggest_image"))
-    return ocr_plan.plan(pages).withColumn("place", F.col("place").cast("int"))
+    return t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_orderkey").cast("int").alias("page")).agg(F.sum(F.col("l_quantity").cast("long")).alias("chars"), F.least(F.sum(big), F.lit(1.0)).alias("image_coverage"), F.max(big).alias("biggest_image"))
 
 
 BM25 = r"""
@@ -382,16 +387,20 @@ BM25 = r"""
 
 
 def whole_documents(t: Tables) -> DataFrame:
-    return t.documents.select(F.when(F.col("doc_id").isNotNull(), "all").alias("session_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
+    return t.documents.select(F.lit("all").alias("session_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("text").alias("content"))
 
 
 def questions(t: Tables) -> DataFrame:
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id").isNotNull(), "all").alias("session_id"), "text")
+    return t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("all").alias("session_id"), "text")
+
+
+def document_postings(t: Tables) -> DataFrame:
+    return materialize(retrieval.postings(whole_documents(t)), "postings")
 
 
 def bm25_hits(t: Tables) -> DataFrame:
-    docs = whole_documents(t)
-    return retrieval.bm25(retrieval.postings(docs), retrieval.corpus(docs), questions(t))
+    posts = document_postings(t)
+    return retrieval.bm25(posts, retrieval.corpus(posts), questions(t))
 
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM bm")
@@ -406,7 +415,7 @@ DENSE = """
 
 
 def dense_hits(t: Tables) -> DataFrame:
-    vectors = t.embeddings.select(F.when(F.col("vec_id").isNotNull(), "all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    vectors = t.embeddings.select(F.lit("all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     asked = questions(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
     return retrieval.dense(vectors, asked)
 
@@ -429,17 +438,40 @@ def rrf_fuse(t: Tables) -> DataFrame:
 
 @query(f"{FUSED} SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank FROM fused WHERE rank < 5")
 def hybrid(t: Tables) -> DataFrame:
-    docs, vectors = whole_documents(t), t.embeddings.select(F.when(F.col("vec_id").isNotNull(), "all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
+    posts, vectors = document_postings(t), t.embeddings.select(F.lit("all").alias("session_id"), F.col("vec_id").alias("chunk_id"), "embedding")
     asked = questions(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding"), "query_id")
-    return retrieval.hybrid(retrieval.postings(docs), retrieval.corpus(docs), vectors, asked).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
+    return retrieval.hybrid(posts, retrieval.corpus(posts), vectors, asked).select("query_id", F.col("chunk_id").alias("doc_id"), F.col("rank").cast("int").alias("rank"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {LINES}, c AS (
+        SELECT *, length(text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, seq) - 1 AS rank FROM packed
+    ), f AS (
+        SELECT DISTINCT doc_id, CAST(-1 AS BIGINT) AS rank, CAST([] AS INTEGER[]) AS taken, CAST(NULL AS INTEGER) AS low, CAST(NULL AS INTEGER) AS high FROM c
+        UNION ALL
+        SELECT doc_id, rank, CASE WHEN gone THEN taken ELSE list_concat(taken, CAST(range(a, b + 1) AS INTEGER[])) END, CASE WHEN NOT gone THEN a END, CASE WHEN NOT gone THEN b END
+        FROM (
+            SELECT *, seq - CASE WHEN before THEN 1 ELSE 0 END AS a,
+                   seq + CASE WHEN behind AND n + CASE WHEN before THEN 2 + before_n ELSE 0 END + 2 + behind_n <= 3600 THEN 1 ELSE 0 END AS b
+            FROM (
+                SELECT f.doc_id, h.rank, f.taken, h.seq, h.n, l.n AS before_n, r.n AS behind_n, list_contains(f.taken, h.seq) AS gone,
+                       l.n IS NOT NULL AND NOT list_contains(f.taken, h.seq - 1) AND h.n + 2 + l.n <= 3600 AS before,
+                       r.n IS NOT NULL AND NOT list_contains(f.taken, h.seq + 1) AS behind
+                FROM f JOIN c h ON h.doc_id = f.doc_id AND h.rank = f.rank + 1
+                LEFT JOIN c l ON l.doc_id = h.doc_id AND l.seq = h.seq - 1 LEFT JOIN c r ON r.doc_id = h.doc_id AND r.seq = h.seq + 1
+            )
+        )
+    ), w AS (
+        SELECT f.doc_id, f.rank, f.high > f.low AS expanded, string_agg(c.text, chr(10) || chr(10) ORDER BY c.seq) AS text, min(c.page_start) AS page_start, max(c.page_end) AS page_end
+        FROM f JOIN c ON c.doc_id = f.doc_id AND c.seq BETWEEN f.low AND f.high GROUP BY ALL
+    )
+    SELECT doc_id AS query_id, CAST(rank AS INTEGER) AS rank, expanded, md5(text) AS digest, page_start, page_end,
+           CAST(length('[Page' || CASE WHEN page_end <> page_start THEN 's ' || page_start || '-' || page_end ELSE ' ' || page_start END || ']') + 2 AS BIGINT) AS body_offset
+    FROM w""")
 def expand_context(t: Tables) -> DataFrame:
-    chunks = flows.document_chunks(t.spark, t.sf_dir).withColumn("session_id", F.col("doc_id").cast("string"))
-    places = chunks.groupBy("session_id").agg(F.max("seq").alias("last")).select("session_id", F.explode(F.array(F.col("last"), F.floor(F.col("last") / 2).cast("int"), F.lit(0))).alias("seq")).distinct()
-    hits = chunks.join(places, ["session_id", "seq"]).withColumn("query_id", F.col("doc_id")).withColumn("rank", (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("seq").desc())) - 1).cast("int"))
-    return context.expand(hits, chunks)
+    chunks = materialize(flows.document_chunks(t.spark, t.sf_dir), "chunks")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "seq")) - 1
+    wide = context.expand(chunks.withColumn("query_id", F.col("doc_id")).withColumn("rank", rank), chunks)
+    return wide.select("query_id", "rank", "expanded", F.md5("text").alias("digest"), "page_start", "page_end", F.col("body_offset").cast("long").alias("body_offset"))
 
 
 @query(f"""WITH RECURSIVE {LINES}, c AS (SELECT *, '[Page' || CASE WHEN page_end <> page_start THEN 's ' || page_start || '-' || page_end ELSE ' ' || page_start END || ']' AS head FROM packed)
@@ -589,11 +621,100 @@ def json_sources(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.try_parse_json("props").isNotNull().alias("valid"), F.md5("props").alias("digest"))
 
 
-@query(r"""WITH p AS (SELECT page_id, '```markdown' || chr(10) || repeat('#', CAST(1 + page_id % 6 AS INTEGER)) || ' *Page* ' || page_id || ' ##' || chr(10) || 'text' || chr(10) || '   ## Sub_' || page_id || chr(10) || '```' AS md FROM pages)
-    SELECT page_id, CAST(1 + page_id % 6 AS INTEGER) AS level, 'Page ' || page_id AS title FROM p UNION ALL SELECT page_id, 2, 'Sub' || page_id FROM p""")
+@query(r"""SELECT page_id, CAST(1 + page_id % 6 AS INTEGER) AS level, 'Page ' || page_id AS title FROM pages UNION ALL SELECT page_id, 2, 'Sub' || page_id FROM pages
+    UNION ALL SELECT page_id, 1, 'Using C' FROM pages UNION ALL SELECT page_id, 3, 'fi ' || page_id FROM pages""")
 def markdown_headings(t: Tables) -> DataFrame:
-    md = F.concat(F.lit("```markdown\n"), F.expr("repeat('#', CAST(1 + page_id % 6 AS INT))"), F.lit(" *Page* "), "page_id", F.lit(" ##\ntext\n   ## Sub_"), "page_id", F.lit("\n```"))
-    return t.pages.select("page_id", F.inline(text.markdown_headings(text.strip_fence(md))))
+    md = F.concat(F.lit("```markdown\n"), F.expr("repeat('#', CAST(1 + page_id % 6 AS INT))"), F.lit(" *Page* "), "page_id", F.lit(" ##\ntext\n   ## Sub_"), "page_id", F.lit("\n# Using C#\n# **\n#no heading\n### \ufb01 "), "page_id", F.lit("\n```"))
+    return text.markdown_headings(t.pages.select("page_id", md.alias("md")), "md").select("page_id", "level", "title")
+
+
+@query(r"""SELECT page_id, '' AS fenced, CAST(NULL AS VARCHAR) AS note, 'x' AS inner_text, '[Text and data from a figure/image on this page]' || chr(10) || 'n' || page_id AS told FROM pages""")
+def fences(t: Tables) -> DataFrame:
+    empty, inner, note = F.lit("```md\n```"), F.lit("\u00a0```\nx\n```\u2003"), F.concat(F.lit("```markdown\nn"), "page_id", F.lit("\n```"))
+    return t.pages.select("page_id", text.strip_fence(empty).alias("fenced"), ocr_plan.figure_note(empty).alias("note"), text.strip_fence(inner).alias("inner_text"), ocr_plan.figure_note(note).alias("told"))
+
+
+@query(r"""
+    WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<(h[1-6]|p|li)>(.*?)</(?:h[1-6]|p|li)>', 1) AS t, regexp_extract_all(html, '(?s)<(h[1-6]|p|li)>(.*?)</(?:h[1-6]|p|li)>', 2) AS b FROM pages),
+    e AS (SELECT page_id, generate_subscripts(t, 1) AS n, unnest(t) AS tag, unnest(b) AS body FROM p),
+    x AS (SELECT page_id, n, CASE WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list' ELSE 'paragraph' END AS kind, CASE WHEN tag LIKE 'h%' THEN CAST(substr(tag, 2, 1) AS INTEGER) ELSE 0 END AS level,
+                 trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '[ \t\n]+', ' ', 'g')) AS text FROM e),
+    k AS (SELECT *, CASE WHEN kind = 'list' AND lag(kind) OVER w = 'list' THEN 0 ELSE 1 END AS starts FROM x WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY n)),
+    g AS (SELECT *, sum(starts) OVER (PARTITION BY page_id ORDER BY n) AS run FROM k)
+    SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(run - 1 AS INTEGER) AS sub, min(kind) AS kind, max(level) AS level,
+           md5(string_agg(CASE WHEN kind = 'list' THEN '- ' || text WHEN kind = 'heading' THEN regexp_replace(text, '[*_`]', '', 'g') ELSE text END, chr(10) ORDER BY n)) AS digest
+    FROM g GROUP BY page_id, run""")
+def markdown_elements(t: Tables) -> DataFrame:
+    mark = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).when(F.col("kind") == "list", "- ").otherwise("")
+    before = F.lag("kind").over(Window.partitionBy("page_id").orderBy("pos"))
+    gap = F.when((F.col("kind") == "list") & (before == "list"), "\n").otherwise("\n\n")
+    lines = adapters.html_elements(t.pages).select("page_id", "pos", F.concat(gap, mark, "text").alias("line"))
+    md = lines.groupBy(F.col("page_id").cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "").alias("markdown"))
+    found = structure.markdown_items(md.withColumn("page", F.lit(1)))
+    return found.select("doc_id", "sub", "kind", "level", F.md5("text").alias("digest"))
+
+
+def ocr_answers(asked: list[dict]) -> tuple[dict, dict]:
+    """A made-up service: some pages have no text, some are skipped, some make a request fail, and some end the work."""
+    numbers = [x["page"] for x in asked]
+    if any(p % 29 == 0 for p in numbers):
+        raise type("Refused", (Exception,), {"code": 401})("no access")
+    if any(p % 13 == 0 for p in numbers):
+        raise ValueError("bad request")
+    return {p: f"# Page {p}" for p in numbers if p % 7 and p % 17}, {p: "a blank page" for p in numbers if p % 17 == 0}
+
+
+@query(r"""
+    WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, CAST(l_orderkey AS INTEGER) AS page, sum(CAST(l_quantity AS BIGINT)) AS chars,
+                      least(sum(l_discount) FILTER (l_discount >= 0.03), 1.0) AS cover, max(l_discount) FILTER (l_discount >= 0.03) AS biggest FROM lineitem GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN chars < 40 AND cover >= 0.10 THEN 1 WHEN chars >= 40 AND cover >= 0.12 AND biggest < 0.80 THEN 2 END AS mode FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mode, page) - 1 AS place FROM m WHERE mode IS NOT NULL),
+    b AS (SELECT *, place // 3 AS batch FROM o WHERE place < 24),
+    s AS (SELECT *, min(CASE WHEN page % 29 = 0 THEN batch END) OVER (PARTITION BY doc_id) AS stopped, bool_or(page % 13 = 0) OVER (PARTITION BY doc_id, batch) AS failed FROM b),
+    r AS (SELECT doc_id, page, CASE WHEN batch >= stopped THEN 'the OCR service rejected the request (401)' WHEN page % 13 = 0 THEN 'the OCR service failed' WHEN page % 17 = 0 THEN 'a blank page'
+                 WHEN page % 7 = 0 AND failed THEN 'the OCR service failed' WHEN page % 7 = 0 THEN 'the model returned no text for this page' END AS reason FROM s)
+    SELECT doc_id, page, CASE WHEN reason IS NULL THEN '# Page ' || page END AS markdown, reason FROM r""")
+def ocr_run(t: Tables) -> DataFrame:
+    return ocr_plan.call_provider(ocr_plan.plan(lineitem_pages(t)).where("wanted"), ocr_answers)
+
+
+PART_BLOCKS = """SELECT p_brand AS doc_id, CAST(p_partkey DIV 40 + 1 AS INT) AS page, CAST(p_partkey AS INT) AS pos,
+    CASE WHEN p_size % 6 = 0 THEN p_name WHEN p_size % 6 < 3 THEN '- ' || p_name WHEN p_size % 4 = 0 THEN p_name ELSE upper(p_name) || '.' END AS text,
+    20.0D AS x0, CAST(p_partkey % 40 * 14 + 60 AS DOUBLE) AS y0, 280.0D AS x1, CAST(p_partkey % 40 * 14 + 72 AS DOUBLE) AS y1,
+    CAST(CASE WHEN p_size % 12 = 0 THEN 16 WHEN p_size % 6 = 0 THEN 14 ELSE 10 END AS DOUBLE) AS size, false AS bold, 1 AS n_lines, p_size % 6 IN (1, 2) AS is_list FROM part"""
+
+
+@query(f"""
+    WITH b AS ({PART_BLOCKS.replace(" DIV ", " // ").replace(".0D", ".0::DOUBLE")}),
+    m AS (SELECT doc_id, size AS body FROM (SELECT doc_id, size, sum(length(text)) AS n, min(pos) AS pos FROM b GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) = 1),
+    s AS (SELECT b.*, body, length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) AS letters FROM b JOIN m USING (doc_id)),
+    k AS (SELECT *, CASE WHEN is_list OR length(text) NOT BETWEEN 2 AND 200 OR letters < 2 OR letters / length(text) < 0.4 OR (text LIKE '%.' AND size < body * 1.3) THEN NULL
+                         WHEN size >= body * 1.12 THEN size WHEN text = upper(text) AND text <> lower(text) AND letters >= 3 AND size >= body * 0.98 AND length(text) <= 100 THEN 0.0 END AS style FROM s),
+    e AS (SELECT *, CASE WHEN style IS NOT NULL THEN 'heading' WHEN is_list THEN 'list' ELSE 'paragraph' END AS kind FROM k),
+    l AS (SELECT *, page - lag(page) OVER w <= 1 AND kind = lag(kind) OVER w AND (kind = 'list' OR kind = 'paragraph' AND NOT regexp_matches(lag(text) OVER w, '[.!?]$') AND regexp_matches(text, '^\\p{{Ll}}')) AS joins
+          FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+    r AS (SELECT *, sum(CASE WHEN coalesce(joins, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l),
+    x AS (SELECT doc_id, CAST(run - 1 AS INTEGER) AS pos, min(kind) AS kind, min(page) AS page, max(page) AS page_end, max(coalesce(style, 0.0)) AS size,
+                 md5(CASE WHEN min(kind) = 'list' THEN string_agg(text, chr(10) ORDER BY r.pos) ELSE string_agg(text, ' ' ORDER BY r.pos) END) AS digest FROM r GROUP BY doc_id, run),
+    d AS (SELECT doc_id, size, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS rank FROM (SELECT DISTINCT doc_id, size FROM x WHERE kind = 'heading' AND size > 0)),
+    c AS (SELECT doc_id, max(rank) AS sizes FROM d GROUP BY 1)
+    SELECT x.doc_id, x.pos, kind, page, page_end, x.size, digest, CAST(CASE WHEN kind = 'heading' THEN least(coalesce(rank, coalesce(sizes, 0) + 1), 6) ELSE 0 END AS INTEGER) AS level
+    FROM x LEFT JOIN d ON d.doc_id = x.doc_id AND d.size = x.size AND kind = 'heading' LEFT JOIN c ON c.doc_id = x.doc_id""")
+def assemble_blocks(t: Tables) -> DataFrame:
+    t.part.createOrReplaceTempView("lodestack_part")
+    blocks = t.spark.sql(PART_BLOCKS.replace("FROM part", "FROM lodestack_part")).withColumn("chars", F.length("text"))
+    pages = blocks.select("doc_id", "page").distinct().withColumn("width", F.lit(600.0)).withColumn("height", F.lit(700.0))
+    elements, _, _ = flows.document_elements(blocks, pages)
+    return elements.select("doc_id", "pos", "kind", "page", "page_end", "size", F.md5("text").alias("digest"), "level")
+
+
+@query("""SELECT c_custkey, CAST(c_custkey % 9 + 1 AS INTEGER) AS page, '# ' || c_name AS markdown, '[{"page":' || (c_custkey % 9 + 1) || ',"page_end":null,"section":"' || c_mktsegment || '","type":"text","excerpt":"' || c_name || '"}]' AS sources FROM customer""")
+def ocr_json(t: Tables) -> DataFrame:
+    page = (F.col("c_custkey") % 9 + 1).cast("int")
+    listed = F.concat(F.lit('[{"page":'), page, F.lit(',"markdown":"```md\\n# '), "c_name", F.lit('\\n```"}]'))
+    response = F.when(F.col("c_custkey") % 2 == 0, listed).when(F.col("c_custkey") % 2 == 1, F.concat(F.lit('{"pages":'), listed, F.lit("}")))
+    sources = F.to_json(F.array(text.sources_json(page, F.lit(None), F.col("c_mktsegment"), F.lit("text"), F.col("c_name"))), {"ignoreNullFields": "false"})
+    return t.customer.select("c_custkey", F.explode(text.ocr_json(response)).alias("p"), sources.alias("sources")).select("c_custkey", "p.page", "p.markdown", "sources")
 
 
 @query(r"""SELECT n_nationkey, 'key~name' || chr(10) || n_nationkey || '~' || n_name || '\|x' AS grid FROM nation""")
@@ -621,7 +742,19 @@ def long_split(t: Tables) -> DataFrame:
     return t.documents.where(F.length("text") > 1200).select("doc_id", F.posexplode(chunking.split_long(F.regexp_replace("text", "\n", " "))).alias("piece", "text"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE p AS (SELECT page_id, regexp_extract_all(html, '(?s)<(h[1-6]|p|li)>(.*?)</(?:h[1-6]|p|li)>', 1) AS t, regexp_extract_all(html, '(?s)<(h[1-6]|p|li)>(.*?)</(?:h[1-6]|p|li)>', 2) AS b FROM pages),
+    e AS (SELECT page_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tag, unnest(b) AS body FROM p),
+    x AS (SELECT page_id, pos, trim(regexp_replace(lower(replace(replace(replace(replace(replace(replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM e WHERE tag <> 'li'),
+    c AS (SELECT b.page_id, b.pos, list(o.pos ORDER BY o.pos) AS entries FROM x b JOIN x o ON o.page_id = b.page_id AND b.norm <> ''
+              AND (b.norm = o.norm OR least(length(b.norm), length(o.norm)) >= 6 AND (starts_with(b.norm, o.norm) OR starts_with(o.norm, b.norm)) AND least(length(b.norm), length(o.norm)) / greatest(length(b.norm), length(o.norm)) >= 0.6)
+          GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM c),
+    f AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS entry, CAST([] AS BIGINT[]) AS taken FROM n
+          UNION ALL
+          SELECT page_id, n, pos, entry, CASE WHEN entry IS NULL THEN taken ELSE list_append(taken, entry) END
+          FROM (SELECT n.page_id, n.n, n.pos, f.taken, list_filter(n.entries, lambda y: NOT list_contains(f.taken, y))[1] AS entry FROM f JOIN n ON n.page_id = f.page_id AND n.n = f.n + 1))
+    SELECT page_id AS doc_id, 1 AS page, CAST(pos AS INTEGER) AS pos, CAST(entry AS INTEGER) AS entry, 1 AS level FROM f WHERE entry IS NOT NULL""")
 def outline_match(t: Tables) -> DataFrame:
     heads = adapters.html_elements(t.pages).where("kind <> 'list'").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("page"), "pos", text.norm_title(F.col("text")).alias("norm"))
     outline = heads.select("doc_id", "page", F.col("pos").alias("entry"), F.lit(1).alias("level"), F.col("norm").alias("title"))
