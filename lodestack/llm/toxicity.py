@@ -3,8 +3,9 @@
 Token features (a word and its first 4, 5 and 6 letters, hashed) are counted in toxic and
 other labelled texts. Their log-odds have a Dirichlet prior in proportion to the labelled
 texts that are counted, toxic and clean together; texts without a label, held out or kept
-for calibration have no part in it. A feature scores the lower confidence bound of its log-odds, if positive, and a
-token the best of its features less a drift. One pass over the tokens finds all maximal
+for calibration have no part in it. A feature scores the end of its log-odds' confidence interval that is nearer to zero,
+and zero if the interval holds zero. A token has the score of its most toxic feature, or else of its word as
+evidence for a clean text, less a drift. One pass over the tokens finds all maximal
 segments. A segment's score S in n tokens of clean text is exceeded K*n*exp(-lambda*S)
 times by chance; lambda solves E[exp(lambda*s)] = 1 over clean tokens. Segments with
 an expectation below ``significant`` are passages, and a logistic function of their
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import map_texts, materialize
+from lodestack.llm.common import map_texts, materialize, scratch
 from lodestack.llm.neardup import few, words_of
 
 BUCKETS, PREFIXES = 1 << 20, (4, 5, 6)
@@ -46,7 +47,7 @@ def features(word: bytes) -> list[int]:
 
 @dataclass
 class Model:
-    scores: dict[int, float]
+    scores: np.ndarray  # by feature, ``BUCKETS`` numbers
     rate: float  # lambda
     log_k: float
     weights: np.ndarray
@@ -57,22 +58,22 @@ class Model:
 class Scores(dict):
     """Token scores by word, found when first asked for."""
 
-    def __init__(self, by_feature: dict[int, float]):
+    def __init__(self, by_feature: np.ndarray):
         super().__init__()
         self.by_feature = by_feature
 
     def __missing__(self, word: bytes) -> float:
         if len(self) > 400_000:
             self.clear()
-        found = max((self.by_feature.get(f, 0.0) for f in features(word)), default=0.0)
-        self[word] = found
+        each = self.by_feature[features(word)]
+        found = self[word] = float(max(each) if max(each) > 0 else each[0])
         return found
 
 
 def segments(at: list[int], gains: list[float], drift: float) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, first token, last token) in linear time.
 
-    The tokens at positions ``at`` score their gain less ``drift``, all others -drift. A
+    The tokens at positions ``at`` score their gain (of either sign) less ``drift``, all others -drift. A
     stack holds candidates with the running total before and after each.
     """
     stack: list[tuple[float, float, int, int, int]] = []  # before, after, first, last, place of the nearest lower one
@@ -95,12 +96,13 @@ def segments(at: list[int], gains: list[float], drift: float) -> list[tuple[floa
     return [(a - b, first, last) for b, a, first, last, _ in stack]
 
 
-def evidence(words: list[bytes], scores: Scores, drift: float) -> tuple[int, list[tuple[float, int, int]], float]:
-    """Tokens, maximal segments and the sum of positive token scores of a text."""
+def evidence(words: list[bytes], scores: Scores, drift: float) -> tuple[int, list[tuple[float, int, int]], list[float]]:
+    """Tokens, maximal segments and the token scores other than 0 of a text."""
     found = [scores[w] for w in words]
-    at = [i for i, s in enumerate(found) if s > 0]
-    gains = [found[i] for i in at]
-    return len(words), segments(at, gains, drift), sum(gains)
+    gains = [s for s in found if s]
+    if not gains or max(gains) <= drift:
+        return len(words), [], gains
+    return len(words), segments([i for i, s in enumerate(found) if s], gains, drift), gains
 
 
 def summary(n: int, parts: list[tuple[float, int, int]], model: Model) -> tuple[list[float], list[tuple[float, int, int]]]:
@@ -130,23 +132,40 @@ def solve_rate(scores: np.ndarray, counts: np.ndarray) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights, the last for 1, by Newton's method; none of the features may lower the score."""
-    a = np.column_stack([x, np.ones(len(x))])
+    """Weights, the last for 1, by Newton's method with shrinking steps; none of the features may lower the score.
+
+    Features are scaled to one spread, and a step is halved until the penalised likelihood grows, so that
+    classes that features tell apart without error give finite weights with the border between them.
+    """
+    spread = np.where(x.std(0) > 0, x.std(0), 1.0)
+    a = np.column_stack([(x - x.mean(0)) / spread, np.ones(len(x))])
     use = np.ones(a.shape[1], bool)
+    use[:-1] = x.std(0) > 0
+
+    def loss(w: np.ndarray) -> float:
+        z = a[:, use] @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * (w @ w))
+
     while True:
-        w = np.zeros(a.shape[1])
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(a[:, use] @ w[use], -30, 30)))
-            g = a[:, use].T @ (p - y) + ridge * w[use]
-            h = (a[:, use] * (p * (1 - p))[:, None]).T @ a[:, use] + ridge * np.eye(use.sum())
-            step = np.linalg.solve(h, g)
-            w[use] -= np.clip(step, -2, 2)
-            if np.abs(step).max() < 1e-8:
+        w, now = np.zeros(use.sum()), loss(np.zeros(use.sum()))
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(a[:, use] @ w, -500, 500)))
+            g = a[:, use].T @ (p - y) + ridge * w
+            h = (a[:, use] * (p * (1 - p))[:, None]).T @ a[:, use] + ridge * np.eye(len(w))
+            step, size = np.linalg.solve(h, g), 1.0
+            while (new := loss(w - size * step)) > now and size > 1e-6:
+                size /= 2
+            if new >= now - 1e-10 * max(1.0, now):
                 break
-        bad = use[:-1] & (w[:-1] < 0)
-        if not bad.any():
-            return w
-        use[:-1] &= ~bad
+            w, now = w - size * step, new
+        found = np.zeros(a.shape[1])
+        found[use] = w
+        if not (found[:-1] < 0).any():
+            break
+        use[:-1] &= found[:-1] >= 0
+    found[:-1] /= spread
+    found[-1] -= found[:-1] @ x.mean(0)
+    return found
 
 
 def feature_counts(labelled: DataFrame) -> DataFrame:
@@ -185,29 +204,39 @@ def feature_counts(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def feature_scores(counts: DataFrame, prior_share: float = PRIOR_SHARE, sigmas: float = SIGMAS) -> dict[int, float]:
-    """Positive lower bounds of log-odds by bucket (``BUCKETS`` at most)."""
+def feature_scores(counts: DataFrame, prior_share: float = PRIOR_SHARE, sigmas: float = SIGMAS) -> np.ndarray | None:
+    """Log-odds by bucket, drawn towards zero by ``sigmas`` standard deviations; None without texts of both classes."""
     total = counts.agg(F.sum("toxic"), F.sum("clean")).first()
     if not total[0] or not total[1]:
-        return {}
+        return None
     n_toxic, n_clean = float(total[0]), float(total[1])
     prior = prior_share * min(n_toxic, n_clean)
     a = F.lit(prior / (n_toxic + n_clean)) * (F.col("toxic") + F.col("clean"))
-    odds = lambda y, n: F.log((F.col(y) + a) / (n + prior - F.col(y) - a))
-    bound = odds("toxic", n_toxic) - odds("clean", n_clean) - sigmas * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
-    rows = counts.where("toxic > 1").withColumn("bound", bound).where("bound > 0").select("bucket", "bound").collect()
-    return {r["bucket"]: r["bound"] for r in rows}
+    part = lambda y, n: F.log((F.col(y) + a) / (n + prior - F.col(y) - a))
+    odds, off = part("toxic", n_toxic) - part("clean", n_clean), sigmas * F.sqrt(1 / (F.col("toxic") + a) + 1 / (F.col("clean") + a))
+    bound = F.greatest(odds - off, F.lit(0.0)) + F.least(odds + off, F.lit(0.0))
+    rows = counts.select("bucket", bound.cast("float").alias("bound")).where("bound <> 0").toArrow()
+    scores = np.zeros(BUCKETS, np.float32)
+    scores[rows.column("bucket").to_numpy()] = rows.column("bound").to_numpy()
+    return scores
 
 
 def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
     """The model, from labels of rows that aren't held out; None without both classes."""
+    with scratch(docs.sparkSession):
+        return fitted(docs, labels, calibration_rows)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, calibration_rows: int) -> Model | None:
+    """``train``, with tables that go when it ends."""
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(part != 0)
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select(docs["doc_id"], docs["text"])
     counted = known.where(part != 4)
-    scores = feature_scores(feature_counts(texts.where(part.between(1, 3)).join(few(counted, counted.count()), "doc_id")))
-    if not scores:
+    counts = materialize(feature_counts(texts.where(part.between(1, 3)).join(few(counted, counted.count()), "doc_id")), "features")
+    scores = feature_scores(counts)
+    if scores is None or not (scores > 0).any():
         return None
     chosen = known.where(part == 4).orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows)
     model = Model(scores, 1.0, 0.0, np.zeros(4), DRIFT, SIGNIFICANT)
@@ -216,25 +245,24 @@ def train(docs: DataFrame, labels: DataFrame, calibration_rows: int = CALIBRATIO
         memo = Scores(scores)
 
         def function(texts):
-            out = [[], [], []]
+            out = [[], [], [], []]
             for t in texts:
-                words = words_of(t)
-                n, parts, _ = evidence(words, memo, DRIFT)
-                out[0].append(n)
-                out[1].append([p[0] for p in parts])
-                out[2].append([s for w in words if (s := memo[w]) > 0])
+                n, parts, gains = evidence(words_of(t), memo, DRIFT)
+                steps, counts = np.unique(np.round(gains, 2), return_counts=True)
+                for column, value in zip(out, (n, [p[0] for p in parts], steps, counts)):
+                    column.append(value)
             return out
 
         return function
 
-    fields = [T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.DoubleType())), T.StructField("gains", T.ArrayType(T.DoubleType()))]
-    rows = map_texts(texts.where(part == 4).join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], fields, make).limit(calibration_rows)
-    rows = materialize(rows, "calibration")
+    fields = [T.StructField("n", T.LongType()), T.StructField("parts", T.ArrayType(T.DoubleType())), T.StructField("gains", T.ArrayType(T.DoubleType())), T.StructField("times", T.ArrayType(T.LongType()))]
+    found = materialize(map_texts(texts.where(part == 4).join(F.broadcast(chosen), "doc_id"), ["doc_id", "toxic"], fields, make), "calibration")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("n", "parts", "gains", "times")).limit(calibration_rows) if found.count() > calibration_rows else found
     # Of the token scores the driver gets a histogram in steps of 0.01, of the rows their segments.
     clean = rows.where("toxic <= 0")
     tokens, found = clean.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
-    steps = clean.select(F.explode("gains").alias("g")).groupBy(F.round("g", 2).alias("g")).count().orderBy("g").toPandas()
-    rows = rows.select("doc_id", "toxic", "n", "parts").toPandas().sort_values("doc_id")
+    steps = clean.select(F.inline(F.arrays_zip("gains", "times"))).groupBy(F.col("gains").alias("g")).agg(F.sum("times").alias("count")).orderBy("g").toPandas()
+    rows = rows.select("doc_id", "toxic", "n", "parts").orderBy("doc_id", F.xxhash64("n", "parts")).toPandas()
     y = (rows["toxic"].to_numpy() > 0).astype(float)
     if not len(y) or y.min() == y.max():
         return None
