@@ -60,9 +60,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+# What SQL can say of operators whose whole result it can't: columns of the same reports.
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.quality_report(table(spark, sf_dir, "documents"), None)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_tokens(spark, sf_dir).select("doc_id", "n_bytes")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_warc, op2_toxicity, op3_quality, op4_topk, op5_neardup, op6_mixing, op7_licenses, op8_secrets, op9_tokens, op10_packing, pipeline)
+    + (quality_base, license_base, secret_base, token_bytes)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -117,4 +138,31 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
                CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM r""",
+    "quality_base": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS n FROM documents),
+        w AS (SELECT n, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+        l AS (SELECT n, unnest(string_split(t, chr(10))) AS line FROM d),
+        u AS (SELECT n, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS dups FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY n),
+        g AS (SELECT n, s, array_to_string(w[s:s + 7], ' ') AS k FROM (SELECT n, w, unnest(range(1, len(w) - 6)) AS s FROM w WHERE len(w) >= 8)),
+        r AS (SELECT n, s FROM g QUALIFY count(*) OVER (PARTITION BY n, k) > 1),
+        c AS (SELECT n, count(DISTINCT s + j) AS repeats FROM (SELECT n, s, unnest(range(0, 8)) AS j FROM r) GROUP BY n),
+        b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+                     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups, 0) AS n_dup_lines, CAST(coalesce(repeats, 0) AS BIGINT) AS n_repeat_words
+              FROM d JOIN w USING (n) LEFT JOIN u USING (n) LEFT JOIN c USING (n))
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b""",
+    "license_base": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 3] = ['under', 'the', 'mit', 'license']) AS a,
+                     list_filter(range(1, len(w) + 1), lambda i: w[i:i + 3] = ['apache', 'license', 'version', '2']) AS b, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['cc', 'by', 'nc']) AS c FROM w)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) AS n_base,
+               CAST(list_min(list_concat(a, b, c)) - 1 AS BIGINT) AS first_word, CAST(list_max(list_concat(a, b, c)) - 1 AS BIGINT) AS last_word,
+               array_to_string(list_filter([CASE WHEN len(b) > 0 THEN 'apache-2' END, CASE WHEN len(c) > 0 THEN 'cc-by-nc' END, CASE WHEN len(a) > 0 THEN 'mit' END], lambda x: x IS NOT NULL), ',') AS base_labels
+        FROM p""",
+    "secret_base": r"""
+        SELECT doc_id,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)) AS BIGINT) AS n_assign,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_access,
+               CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) AS BIGINT) AS n_hex
+        FROM documents""",
+    "token_bytes": "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents",
 }

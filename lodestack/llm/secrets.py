@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and zstandard novelty of strings in sensitive context.
 
-A candidate near a sensitive word is compressed with a dictionary made of the code
-around it and of common identifiers; the bytes that this adds are its marginal size.
-Strings that the dictionary does not explain are reported as kind ``novel``: their
+The code around a candidate near a sensitive word is compressed without and with it, primed with a
+dictionary of common identifiers; the bytes that it adds are its marginal size.
+Strings that code and dictionary don't explain are reported as kind ``novel``: their
 marginal size comes near the entropy of random strings of their alphabet. Every
 candidate is compressed, also letters alone; a long word of prose in such a place can be
 reported too.
@@ -17,6 +17,7 @@ pieces is novel; a token without quotes is of ASCII and Latin characters.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -53,19 +54,28 @@ IDENTIFIERS = (
     "secret_key service session_id signature string_value test_value token username version "
     "your_api_key_here xxxxxxxxxxxxxxxx changeme undefined null true false"
 )
-CONTEXT, NOVEL_SHARE, RANDOM_SHARE, NOVEL_BYTES, LONG_BYTES = 256, 0.6, 0.9, 12, 48
+CONTEXT, NOVEL_SHARE, RANDOM_SHARE, NOVEL_BYTES = 256, 0.6, 0.9, 12
 _L, _U, _D = string.ascii_lowercase, string.ascii_uppercase, string.digits
 #: Alphabets of keys, the smallest first.
 ALPHABETS = [frozenset(x) for x in (_D, _D + "abcdef", _D + "ABCDEF", _L, _U, _D + _L, _D + _U, _L + _U, _D + _L + _U, _D + _L + _U + "+/_-=", _D + _L + _U + string.punctuation)]
 
 
-def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> int:
-    """Bytes that ``candidate`` adds to what the dictionary of its context explains."""
+@functools.cache
+def compressor(identifiers: str):
+    """A function that compresses bytes with a dictionary of ``identifiers``."""
     import zstandard
 
-    primed = zstandard.ZstdCompressionDict((identifiers + "\n" + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    squeeze = zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compress
-    return len(squeeze(candidate.encode())) - len(squeeze(b""))
+    primed = zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=19, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False).compress
+
+
+def novelty(candidate: str, around: str, identifiers: str = IDENTIFIERS) -> int:
+    """Bytes that ``candidate`` adds to the compressed code around it.
+
+    A short string alone would be stored as it is; behind the code it can use what the compressor has of it.
+    """
+    squeeze, code = compressor(identifiers), (around + "\n").encode("utf-8", "surrogatepass")
+    return len(squeeze(code + candidate.encode("utf-8", "surrogatepass"))) - len(squeeze(code))
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -84,8 +94,8 @@ def entropy(value: str) -> float:
 
 
 def novel(value: str, around: str) -> bool:
-    """Whether the dictionary of its context leaves as much of ``value`` unexplained as of a random string, ``NOVEL_SHARE`` of it, or ``LONG_BYTES``."""
-    return novelty(value, around) >= max(NOVEL_BYTES, min(NOVEL_SHARE * len(value), RANDOM_SHARE * entropy(value), LONG_BYTES))
+    """Whether its context leaves as much of ``value`` unexplained as of a random string, or ``NOVEL_SHARE`` of it."""
+    return novelty(value, around) >= max(NOVEL_BYTES, min(NOVEL_SHARE * len(value), RANDOM_SHARE * entropy(value)))
 
 
 def novel_spans(text: str, taken: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:

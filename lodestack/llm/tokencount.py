@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import map_texts, shared_dir, tokenizer_file
+from lodestack.llm.common import hadoop_path, map_texts, shared_dir, tokenizer_file
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
@@ -101,9 +101,8 @@ def tokenizer_digest(name: str = TOKENIZER) -> str:
 
 def cached(spark: SparkSession, cache: str) -> DataFrame:
     """The cache's rows; none if there is no cache yet."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.schema(SCHEMA).parquet(cache) if there else spark.createDataFrame([], SCHEMA)
+    store, path = hadoop_path(spark, cache)
+    return spark.read.schema(SCHEMA).parquet(cache) if store.exists(path) else spark.createDataFrame([], SCHEMA)
 
 
 def counted(docs: DataFrame, columns: list[Column], cache: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
