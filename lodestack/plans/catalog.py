@@ -642,7 +642,7 @@ def fences(t: Tables) -> DataFrame:
     k AS (SELECT *, CASE WHEN kind = 'list' AND lag(kind) OVER w = 'list' THEN 0 ELSE 1 END AS starts FROM x WHERE text <> '' WINDOW w AS (PARTITION BY page_id ORDER BY n)),
     g AS (SELECT *, sum(starts) OVER (PARTITION BY page_id ORDER BY n) AS run FROM k)
     SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(run - 1 AS INTEGER) AS sub, min(kind) AS kind, max(level) AS level,
-           md5(string_agg(CASE WHEN kind = 'list' THEN '- ' || text WHEN kind = 'heading' THEN regexp_replace(text, '[*_`]', '', 'g') ELSE text END, chr(10) ORDER BY n)) AS digest
+           md5(string_agg(CASE WHEN kind = 'list' THEN '- ' || text WHEN kind = 'heading' THEN trim(regexp_replace(regexp_replace(text, '\s*#*$', ''), '[*_`]', '', 'g')) ELSE text END, chr(10) ORDER BY n)) AS digest
     FROM g GROUP BY page_id, run""")
 def markdown_elements(t: Tables) -> DataFrame:
     mark = F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "))).when(F.col("kind") == "list", "- ").otherwise("")
@@ -737,7 +737,35 @@ def stitch_tables(t: Tables) -> DataFrame:
     return structure.stitch_tables(found).select("doc_id", "pos", "page", "page_end", F.size("rows").alias("n_rows"), F.array_join(F.transform(F.slice("rows", 2, F.size("rows") - 1), lambda r: r[0]), ",").alias("cells"))
 
 
-@query()
+@query(r"""
+    WITH RECURSIVE s AS (
+        SELECT doc_id, generate_subscripts(x, 1) AS n, trim(unnest(x)) AS rest
+        FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\s+([A-Z0-9"\x{201C}(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS x FROM documents WHERE length(text) > 1200)
+    ), c AS (
+        SELECT doc_id, n, 0 AS k, rest, CAST(NULL AS VARCHAR) AS part FROM s
+        UNION ALL
+        SELECT doc_id, n, k + 1, CASE WHEN length(rest) > 1200 THEN trim(substr(rest, cut + 1)) ELSE '' END, CASE WHEN length(rest) > 1200 THEN trim(substr(rest, 1, cut)) ELSE rest END
+        FROM (SELECT *, CASE WHEN contains(substr(rest, 1, 1200), ' ') AND 1200 - strpos(reverse(substr(rest, 1, 1200)), ' ') >= 600 THEN 1200 - strpos(reverse(substr(rest, 1, 1200)), ' ') ELSE 1200 END AS cut FROM c WHERE rest <> '')
+    ), u AS (
+        SELECT doc_id, list(part ORDER BY n, k) AS p, list(length(part) ORDER BY n, k) AS l FROM c WHERE part <> '' GROUP BY doc_id
+    ), v AS (
+        SELECT *, list_prepend(0, list_transform(range(1, len(l) + 1), lambda j: list_sum(l[1:j]))) AS cs FROM u
+    ), f AS (
+        SELECT doc_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS start, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM v
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN NOT full_up THEN start WHEN keep IS NOT NULL AND cs[i] - cs[keep] + (i - 1 - keep) + 1 + l[i] <= 1200 THEN keep ELSE i END,
+               CASE WHEN full_up THEN start END, CASE WHEN full_up THEN i - 1 END
+        FROM (
+            SELECT f.doc_id, f.i, f.start, v.l, v.cs, f.i > f.start AND v.cs[f.i] - v.cs[f.start] + (f.i - 1 - f.start) + 1 + v.l[f.i] > 1200 AS full_up,
+                   CASE WHEN f.i > f.start AND v.cs[f.i] - v.cs[f.start] + (f.i - 1 - f.start) + 1 + v.l[f.i] > 1200
+                        THEN list_filter(range(f.start, f.i), lambda y: v.cs[f.i] - v.cs[y] + (f.i - 1 - y) <= 150 AND (y < f.i - 1 OR v.l[y] <= 149))[1] END AS keep
+            FROM f JOIN v ON v.doc_id = f.doc_id AND f.i <= len(v.l)
+        )
+    ), e AS (
+        SELECT doc_id, a, b FROM f WHERE a IS NOT NULL
+        UNION ALL SELECT f.doc_id, f.start, CAST(len(v.l) AS BIGINT) FROM f JOIN v ON v.doc_id = f.doc_id AND f.i = len(v.l) + 1
+    )
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INTEGER) AS piece, array_to_string(p[a:b], ' ') AS text FROM e JOIN v USING (doc_id)""")
 def long_split(t: Tables) -> DataFrame:
     return t.documents.where(F.length("text") > 1200).select("doc_id", F.posexplode(chunking.split_long(F.regexp_replace("text", "\n", " "))).alias("piece", "text"))
 
@@ -761,10 +789,14 @@ def outline_match(t: Tables) -> DataFrame:
     return structure.match_outline(heads, outline)
 
 
+def page_items(t: Tables) -> DataFrame:
+    """Items of the HTML pages."""
+    return adapters.html_elements(t.pages).select(F.col("page_id").cast("string").alias("doc_id"), "pos", F.lit(1).alias("page"), "kind", "text", "level", F.lit(0.0).alias("size"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(False).alias("at_page_top"))
+
+
 @query()
 def ingest_pages(t: Tables) -> DataFrame:
-    items = adapters.html_elements(t.pages).select(F.col("page_id").cast("string").alias("doc_id"), "pos", F.lit(1).alias("page"), "kind", "text", "level", F.lit(0.0).alias("size"), F.lit(None).cast("array<array<string>>").alias("rows"), F.lit(False).alias("at_page_top"))
-    chunks, _ = flows.ingest(structure.assemble(items))
+    chunks, _ = flows.ingest(structure.assemble(page_items(t)))
     return chunks.select("chunk_id", "section_id", "seq", "kind", "breadcrumb", "content", "body_offset", "page_start", "page_end", "overlaps_prev")
 
 
@@ -779,3 +811,151 @@ def ingest_pages(t: Tables) -> DataFrame:
     FROM bm JOIN c USING (chunk_id)""")
 def flagship(t: Tables) -> DataFrame:
     return flows.flagship(t.spark, t.sf_dir).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("""WITH i AS (SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, CAST(l_orderkey AS INTEGER) AS page, CAST(l_partkey % 700 AS DOUBLE) - 60 AS x0, CAST(l_linenumber * 90 AS DOUBLE) - 120 AS y0,
+        CAST(l_partkey % 700 + l_quantity * 5 AS DOUBLE) - 60 AS x1, CAST(l_linenumber * 90 + l_quantity * 6 AS DOUBLE) - 120 AS y1 FROM lineitem),
+    a AS (SELECT *, greatest(least(greatest(x1, 0), 600) - least(greatest(x0, 0), 600), 0) * greatest(least(greatest(y1, 0), 800) - least(greatest(y0, 0), 800), 0) / (600.0 * 800.0) AS share FROM i)
+    SELECT doc_id, page, round(least(sum(share), 1.0), 9) AS image_coverage, round(max(share), 9) AS biggest_image, min(y0) AS first_y FROM a WHERE share >= 0.03 GROUP BY ALL""")
+def image_scan(t: Tables) -> DataFrame:
+    x, y, q = (F.col("l_partkey") % 700).cast("double") - 60, (F.col("l_linenumber") * 90).cast("double") - 120, F.col("l_quantity").cast("double")
+    images = t.lineitem.select(F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_orderkey").cast("int").alias("page"), x.alias("x0"), y.alias("y0"), (x + q * 5).alias("x1"), (y + q * 6).alias("y1"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"))
+    found = layout.image_coverage(images)
+    return found.withColumn("image_coverage", F.round("image_coverage", 9)).withColumn("biggest_image", F.round("biggest_image", 9))
+
+
+@query(r"""
+    WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents),
+    b AS (SELECT doc_id, CAST(floor(pos / 6) + 1 AS INTEGER) AS page, pos, text, pos % 6 * 100.0 + 40 <= 48 OR pos % 6 * 100.0 >= 552 AS margin,
+                 trim(regexp_replace(regexp_replace(lower(text), '[0-9]+', '#', 'g'), '\s+', ' ', 'g')) AS key FROM l),
+    n AS (SELECT doc_id, count(DISTINCT page) AS of_pages FROM b GROUP BY 1),
+    k AS (SELECT doc_id, key FROM b JOIN n USING (doc_id) WHERE margin GROUP BY doc_id, key, of_pages HAVING count(DISTINCT page) >= greatest(3, floor(of_pages * 0.4))),
+    f AS (SELECT b.*, margin AND (k.key IS NOT NULL OR regexp_matches(text, '(?i)^\s*(?:page\s+)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\s*$')) AS is_furniture FROM b LEFT JOIN k USING (doc_id, key))
+    SELECT doc_id, page, CAST(count(*) FILTER (is_furniture) AS BIGINT) AS furniture, CAST(coalesce(sum(length(text)) FILTER (NOT is_furniture), 0) AS BIGINT) AS chars FROM f GROUP BY ALL""")
+def page_chars(t: Tables) -> DataFrame:
+    blocks, pages = paged_blocks(t)
+    marked = layout.mark_furniture(blocks, pages).withColumn("chars", F.length("text"))
+    count = marked.groupBy("doc_id", "page").agg(F.count_if("is_furniture").alias("furniture"))
+    return layout.page_chars(marked.where("NOT is_furniture"), pages).join(count, ["doc_id", "page"])
+
+
+@query("""WITH p AS (SELECT CAST(l_suppkey AS VARCHAR) AS doc_id, CAST(l_orderkey AS INTEGER) AS page, sum(CAST(l_quantity AS BIGINT)) AS chars,
+                      least(sum(l_discount) FILTER (l_discount >= 0.03), 1.0) AS cover, max(l_discount) FILTER (l_discount >= 0.03) AS biggest FROM lineitem GROUP BY ALL),
+    m AS (SELECT *, CASE WHEN chars < 40 AND cover >= 0.10 THEN 'full' WHEN chars >= 40 AND cover >= 0.12 AND biggest < 0.80 THEN 'figures' END AS mode FROM p),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mode = 'figures', page) - 1 AS place FROM m WHERE mode IS NOT NULL),
+    r AS (SELECT doc_id, page, 'were not OCR''d: over the per-document OCR limit of 24 pages.' AS told FROM o WHERE place >= 24
+          UNION ALL SELECT doc_id, page, CASE mode WHEN 'full' THEN 'look like scanned images with no text layer. OCR is not available, so their content cannot be searched.' ELSE 'contain images whose text is not indexed (OCR is not available).' END FROM o),
+    g AS (SELECT doc_id, told, page, page - row_number() OVER (PARTITION BY doc_id, told ORDER BY page) AS g FROM (SELECT DISTINCT * FROM r)),
+    i AS (SELECT doc_id, told, min(page) AS a, max(page) AS b FROM g GROUP BY doc_id, told, g)
+    SELECT doc_id, 'Pages ' || string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) || ' ' || told AS warning FROM i GROUP BY doc_id, told""")
+def ocr_warnings(t: Tables) -> DataFrame:
+    planned = ocr_plan.plan(lineitem_pages(t))
+    return ocr_plan.warnings(ocr_plan.over_limit(planned)).unionByName(ocr_plan.warnings_without_provider(planned))
+
+
+@query("""WITH p AS (SELECT *, p_size % 2 = 0 AS heavy, p_size % 3 = 0 AS listed, split_part(p_name, ' ', 1) AS a, substr(p_name, length(split_part(p_name, ' ', 1)) + 2) AS b FROM part)
+    SELECT p_brand AS doc_id, CAST(p_partkey AS INTEGER) AS pos,
+           CASE WHEN listed THEN '1. ' || a || chr(10) || '- ' || b ELSE a || ' ' || b END AS text,
+           2 AS n_lines, listed AS is_list, CAST(length(a) + length(b) + CASE WHEN listed THEN 4 ELSE 0 END AS INTEGER) AS chars,
+           CASE WHEN length(a) >= length(b) THEN 9.5 ELSE 12.0 END::DOUBLE AS size,
+           CASE WHEN heavy THEN length(a) + CASE WHEN listed THEN 2 ELSE 0 END ELSE 0 END / (length(a) + length(b) + CASE WHEN listed THEN 4 ELSE 0 END) >= 0.8 AS bold
+    FROM p WHERE b <> '' AND a <> ''""")
+def span_blocks(t: Tables) -> DataFrame:
+    a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.expr("substr(p_name, length(split_part(p_name, ' ', 1)) + 2)")
+    listed = F.col("p_size") % 3 == 0
+    part = t.part.select("p_brand", "p_partkey", "p_size", listed.alias("listed"), a.alias("a"), b.alias("b")).where("a <> '' AND b <> ''")
+    flags = F.when(F.col("p_size") % 2 == 0, 16).otherwise(0)
+    span = lambda line, n, words, size, flag, font: F.struct(F.lit(line).alias("line"), F.lit(n).alias("span"), words.alias("text"), F.lit(size).alias("size"), flag.alias("flags"), F.lit(font).alias("font"))
+    plain = F.lit(0)
+    # A mark on a line of its own goes before the next line; the second line of a list begins with a dash.
+    marked = F.array(span(0, 0, F.lit("1."), 9.6, flags, "Text"), span(1, 0, F.col("a"), 9.6, flags, "Text"), span(2, 0, F.concat(F.lit("- "), F.col("b")), 12.1, plain, "Text"))
+    two = F.array(span(0, 0, F.col("a"), 9.4, flags, "Text"), span(0, 1, F.lit("  "), 30.0, plain, "Text-Bold"), span(1, 0, F.col("b"), 12.1, plain, "Text"))
+    spans = part.select(F.col("p_brand").alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").cast("int").alias("block"), F.inline(F.when(F.col("listed"), marked).otherwise(two)))
+    box = [F.lit(float(v)).alias(c) for c, v in (("x0", 0), ("y0", 0), ("x1", 1), ("y1", 1))]
+    return adapters.blocks_from_spans(spans.select("*", *box)).select("doc_id", "pos", "text", "n_lines", "is_list", "chars", "size", "bold")
+
+
+CHUNK_TABLE = """SELECT CAST(o_orderkey AS VARCHAR) AS chunk_id, o_custkey AS session_id, CAST(o_orderkey % 5 AS INTEGER) AS section_id, CASE WHEN o_orderkey % 7 > 0 THEN CAST(o_orderkey AS INTEGER) END AS seq,
+    CAST(o_orderkey % 9 AS INTEGER) AS page, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 9 + 1 AS INTEGER) END AS page_start, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderkey % 9 + 2 AS INTEGER) END AS page_end,
+    CASE WHEN o_orderkey % 3 = 0 THEN 'table' END AS chunk_type, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS breadcrumb FROM orders"""
+
+
+@query(f"""WITH c AS ({CHUNK_TABLE}) SELECT chunk_id, session_id, section_id, seq, page, coalesce(page_start, page + 1) AS page_start, coalesce(page_end, page_start, page + 1) AS page_end,
+    coalesce(chunk_type, 'text') AS chunk_type, coalesce(breadcrumb, '') AS breadcrumb, CAST(row_number() OVER (ORDER BY seq NULLS LAST, chunk_id) AS INTEGER) AS place FROM c
+    WHERE session_id = 7 AND section_id IN (SELECT section_id FROM c WHERE session_id = 7 AND chunk_type = 'table')""")
+def chunk_scan(t: Tables) -> DataFrame:
+    t.orders.createOrReplaceTempView("lodestack_orders")
+    chunks = t.spark.sql(CHUNK_TABLE.replace("VARCHAR", "STRING").replace("FROM orders", "FROM lodestack_orders"))
+    mine = tables.session_chunks(tables.section_chunks(chunks, chunks.where("chunk_type = 'table'").select("session_id", "section_id").distinct()), 7)
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("seq").asc_nulls_last(), "chunk_id"))
+    return tables.chunk_rows(mine).withColumn("place", place)
+
+
+@query(f"""WITH c AS ({CHUNK_TABLE}) SELECT chunk_id, to_json({{'chunk_id': chunk_id, 'page': page_start - 1, 'breadcrumb': nullif(breadcrumb, '')}}) AS json FROM c WHERE chunk_id IN (SELECT chunk_id FROM c WHERE session_id <= 20)""")
+def chunk_json(t: Tables) -> DataFrame:
+    t.orders.createOrReplaceTempView("lodestack_orders")
+    chunks = t.spark.sql(CHUNK_TABLE.replace("VARCHAR", "STRING").replace("FROM orders", "FROM lodestack_orders"))
+    ids = chunks.where("session_id <= 20").select("chunk_id")
+    stored = tables.chunk_sink(chunks.join(ids, "chunk_id", "left_semi")).select("chunk_id", "page", "breadcrumb")
+    return tables.to_json(stored).withColumn("chunk_id", F.get_json_object("json", "$.chunk_id"))
+
+
+@query("""WITH a AS (SELECT sha256(CAST(o_orderkey AS VARCHAR)) AS token_hash, o_custkey AS user_id, o_orderdate + INTERVAL 7 DAY AS expires_at, o_orderkey FROM orders)
+    SELECT token_hash, user_id, expires_at FROM a WHERE expires_at > TIMESTAMP '1995-01-01' AND o_orderkey % 3 <> 0 AND token_hash <> sha256('1')
+    UNION ALL SELECT sha256('new' || c_custkey), c_custkey, TIMESTAMP '1999-01-01' FROM customer""")
+def token_changes(t: Tables) -> DataFrame:
+    there = t.orders.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("token_hash"), F.col("o_custkey").alias("user_id"), (F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("expires_at"))
+    gone = t.orders.where("o_orderkey % 3 = 0").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("token_hash"))
+    issued = t.customer.select(F.sha2(F.concat(F.lit("new"), F.col("c_custkey")), 256).alias("token_hash"), F.col("c_custkey").alias("user_id"), F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'").alias("expires_at"))
+    return history.rotate_tokens(history.revoke_token(there, "1"), gone, issued, F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, 'm' || (s_suppkey % 50) AS email FROM supplier WHERE s_suppkey <= 50
+    UNION ALL SELECT -n_nationkey - 1, n_name, 'n' || n_nationkey FROM nation""")
+def user_inserts(t: Tables) -> DataFrame:
+    there = t.supplier.where("s_suppkey <= 50").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("m"), F.col("s_suppkey") % 50).alias("email"))
+    new = t.nation.select((-F.col("n_nationkey") - 1).cast("long").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("email"))
+    taken = t.supplier.select((F.col("s_suppkey") + 100_000).alias("id"), F.lit("late").alias("name"), F.concat(F.lit("m"), F.col("s_suppkey") % 50).alias("email"))
+    return history.insert_users(there, new.unionByName(taken))  # whose addresses are all taken
+
+
+@query("""SELECT conv_id AS session_id, turn AS sequence, role, text AS content FROM conversations
+    UNION ALL SELECT o_orderkey, 1000 + r, CASE r WHEN 0 THEN 'user' ELSE 'assistant' END, o_orderpriority FROM orders, range(2) t(r)""")
+def save_turns(t: Tables) -> DataFrame:
+    said = t.conversations.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("sequence"), "role", F.col("text").alias("content"))
+    both = F.array(F.struct(F.lit(1000).cast("long").alias("sequence"), F.lit("user").alias("role")), F.struct(F.lit(1001).cast("long").alias("sequence"), F.lit("assistant").alias("role")))
+    turn = t.orders.select(F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("content"), F.inline(both))
+    return history.save_turn(said, sessions(t), turn)
+
+
+@query(r"""SELECT c_custkey, length(trim(c_name)) > 0 AND c_custkey % 4 > 0 AS name_ok, c_custkey % 20 BETWEEN 12 AND 128 AS password_ok, c_custkey % 5 > 0 AS asked, round_even(c_acctbal / 7, 3) AS elapsed,
+    CASE WHEN c_custkey % 2 = 0 THEN 'c' || c_custkey ELSE c_custkey % 9 || ':' || sha256(c_name) END AS key, least(150 / 72, 1800 / greatest(612.0, c_custkey * 10.0)) AS zoom FROM customer""")
+def account_rules(t: Tables) -> DataFrame:
+    n = F.col("c_custkey")
+    return t.customer.select(
+        "c_custkey", text.valid_name(F.when(n % 4 > 0, F.col("c_name")).otherwise("  ")).alias("name_ok"), text.valid_password(F.repeat(F.lit("x"), (n % 20).cast("int"))).alias("password_ok"),
+        text.asked(F.when(n % 5 > 0, F.col("c_name")).otherwise(" \n")).alias("asked"), text.elapsed(F.col("c_acctbal") / 7).alias("elapsed"),
+        text.document_key(F.when(n % 2 == 0, F.concat(F.lit("c"), n)), (n % 9).cast("int"), F.col("c_name")).alias("key"), geometry.render_zoom(F.lit(612.0), n * 10.0).alias("zoom"),
+    )
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS entries, count(*) FILTER (o_orderkey % 2 = 0) AS found FROM orders GROUP BY 1) SELECT o_custkey AS doc_id FROM o WHERE entries >= 3 AND found / entries >= 0.5""")
+def outline_trust(t: Tables) -> DataFrame:
+    outline = t.orders.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("entry"))
+    return structure.trusted_outlines(outline.where("entry % 2 = 0"), outline)
+
+
+@query("""SELECT 'all' AS kind, count(*) AS sessions FROM orders UNION ALL SELECT 'mine', count(*) FROM orders WHERE o_custkey = 7 UNION ALL SELECT 'one', count(*) FROM orders WHERE o_custkey = 7 AND o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_custkey = 7)""")
+def session_totals(t: Tables) -> DataFrame:
+    rows = sessions(t)
+    first = rows.where("user_id = 7").agg(F.min("session_id").alias("session_id"))
+    mine = rows.join(first, "session_id", "left_semi")
+    named = lambda kind, n: n.select(F.lit(kind).alias("kind"), "sessions")
+    return named("all", history.session_count(rows)).unionByName(named("mine", history.session_count(rows, 7))).unionByName(named("one", history.session_count(mine, 7)))
+
+
+@query(r"""WITH p AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, len(regexp_extract_all(html, '(?s)<(h[1-6])>(.*?)</h[1-6]>')) AS sections FROM pages)
+    SELECT doc_id, 1 AS pages, CAST(sections AS BIGINT) AS sections, CAST(0 AS BIGINT) AS tables FROM p""")
+def ingest_summary(t: Tables) -> DataFrame:
+    _, summary = flows.ingest(structure.assemble(page_items(t)))
+    return summary.select("doc_id", "pages", "sections", "tables")
