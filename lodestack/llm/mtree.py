@@ -8,8 +8,8 @@ and distances to their parent; the distance to the parent rules entries out befo
 distance is computed, and of a page of points only a range by their distance to its centre
 is looked at.
 
-A block of queries is searched together: each takes its pages by the best score that they can
-hold, and queries that come to the same page share one matrix product. A query searches its
+A block of queries is searched together: each takes its first pages by the best score that they can
+hold, and then all go to the pages that may still hold a better row; queries that come to the same page share one matrix product. A query searches its
 own tree first. With its k-th score there, roots' radii rule out whole trees for whole blocks
 of queries (of neighbouring trees); the rest is searched, nearest trees first.
 
@@ -39,6 +39,8 @@ from lodestack.llm.common import materialize, scratch
 SCALE, K, QUERY_EVERY = 256, 5, 50
 #: Rows of a tree (up to twice as many), of a page, pages of a page; pivots of a cell, and levels of cells.
 TREE_ROWS, LEAF, FAN, PIVOTS, LEVELS = 4096, 256, 16, 64, 6
+#: Pages that each query takes in its own order before queries go to pages together.
+FIRST = 3
 #: Queries of a block, trees that a task searches for a block, rows that a task deals to cells.
 BLOCK, UNIT, DEAL_ROWS = 1024, 8, 16_384
 NONE = -(1 << 62)
@@ -182,21 +184,28 @@ class MTree:
                 todo += [n for n in span.tolist() if not self.leaf[n]]
         leaves = np.flatnonzero(self.leaf)
         order = leaves[np.argsort(-bound[:, leaves], axis=1, kind="stable")]
-        for turn in range(len(leaves)):  # each query's next best page
+        for turn in range(min(FIRST, len(leaves))):  # each query's next best page
             page = order[:, turn]
             some = rows[bound[rows, page[rows]] >= best.least(rows)]
-            if not len(some):
-                break
             for leaf in np.unique(page[some]).tolist():
-                mine = some[page[some] == leaf]
-                reach = np.sqrt(np.maximum(0.0, whole[mine] - 2 * best.least(mine))) * (1 + 1e-9) + np.sqrt(slack[mine]) + 1e-6
-                own = self.own[self.first[leaf] : self.first[leaf] + self.count[leaf]]
-                low = int(np.searchsorted(own, (far[mine, leaf] - reach).min(), "left"))
-                high = int(np.searchsorted(own, (far[mine, leaf] + reach).max(), "right"))
-                if low < high:
-                    span = slice(self.first[leaf] + low, self.first[leaf] + high)
-                    self.computed += len(mine) * (high - low)
-                    best.offer(mine, q[mine] @ self.points[span].T, self.ids[span])
+                self.read_page(leaf, some[page[some] == leaf], q, whole, slack, far, best)
+            bound[rows, page[rows]] = -np.inf
+        # By now the k-th scores are nearly the last ones; queries go to the other pages together.
+        for leaf in leaves[np.argsort(-bound[:, leaves].max(0), kind="stable")].tolist():
+            self.read_page(leaf, rows[bound[rows, leaf] >= best.least(rows)], q, whole, slack, far, best)
+
+    def read_page(self, leaf: int, mine: np.ndarray, q: np.ndarray, whole: np.ndarray, slack: np.ndarray, far: np.ndarray, best: Best) -> None:
+        """Scores the points of a page that can be near enough for one of the queries ``mine``."""
+        if not len(mine):
+            return
+        reach = np.sqrt(np.maximum(0.0, whole[mine] - 2 * best.least(mine))) * (1 + 1e-9) + np.sqrt(slack[mine]) + 1e-6
+        own = self.own[self.first[leaf] : self.first[leaf] + self.count[leaf]]
+        low = int(np.searchsorted(own, (far[mine, leaf] - reach).min(), "left"))
+        high = int(np.searchsorted(own, (far[mine, leaf] + reach).max(), "right"))
+        if low < high:
+            span = slice(self.first[leaf] + low, self.first[leaf] + high)
+            self.computed += len(mine) * (high - low)
+            best.offer(mine, q[mine] @ self.points[span].T, self.ids[span])
 
     def search(self, query: np.ndarray, query_id: int, k: int = K, floor: int = NONE) -> list[tuple[int, int]]:
         """The k best (score, vec_id) with scores of ``floor`` at least, ties to smaller ids."""
