@@ -123,6 +123,31 @@ def cut_at_words(text: str, count, max_len: int) -> list[str]:
     return [y for x in parts for y in cut_at_words(x, count, max_len)]
 
 
+def token_parts(text: str, count, max_len: int) -> tuple[list[str], list[int]]:
+    """Parts of at most ``max_len`` tokens that are the text, put together, and their tokens."""
+    found = count.parts(text)
+    if found is None:
+        parts = cut_at_words(text, count, max_len)
+        return parts, count(parts)
+    parts, lengths, held, size = [], [], [], 0
+    for piece, n in zip(*found):
+        if held and size + n > max_len:
+            parts.append("".join(held))
+            lengths.append(size)
+            held, size = [], 0
+        if n > max_len:
+            cut = cut_at_words(piece, count, max_len)
+            parts += cut
+            lengths += count(cut)
+            continue
+        held.append(piece)
+        size += n
+    if held or not parts:
+        parts.append("".join(held))
+        lengths.append(size)
+    return parts, lengths
+
+
 def token_sequences(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, cache: str | None = None) -> DataFrame:
     """As ``word_sequences``, with the tokens of ``tokenizer``; counts come through the digest cache."""
     from lodestack.llm import tokencount
@@ -133,8 +158,7 @@ def token_sequences(docs: DataFrame, tokenizer: str, max_len: int = MAX_LEN, cac
         count = tokencount.counter(tokenizer)
 
         def function(texts):
-            parts = [cut_at_words(t, count, max_len) for t in texts]
-            return [parts, [count(p) for p in parts]]
+            return [list(x) for x in zip(*(token_parts(t, count, max_len) for t in texts))]
 
         return function
 

@@ -53,7 +53,11 @@ class Counts(dict):
 
 
 def counter(name: str = TOKENIZER):
-    """A function from texts to the library's token counts."""
+    """A function from texts to the library's token counts.
+
+    Its ``parts(text)`` gives pieces that are the text, put together, with their counts, which add up to
+    the count of any run of pieces; None where the tokenizer or the text has no such pieces.
+    """
     import json
     import os
 
@@ -63,7 +67,12 @@ def counter(name: str = TOKENIZER):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
+
+        def whole(texts):
+            return [len(x) for x in model.encode(texts, num_threads=1)]
+
+        whole.parts = lambda text: None
+        return whole
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -76,20 +85,20 @@ def counter(name: str = TOKENIZER):
     by_piece = steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True) and not made.get("normalizer")
     memo = Counts(tokenizer)
 
+    def parts(text):
+        if not by_piece or UNUSUAL.search(text) or any(s in text for s in special):
+            return None
+        pieces = PIECE.findall(text)
+        try:
+            return pieces, [memo[p] for p in pieces]
+        except KeyError:
+            memo.fill(pieces)
+            return pieces, [memo[p] for p in pieces]
+
     def function(texts):
-        out = []
-        for text in texts:
-            if not by_piece or UNUSUAL.search(text) or any(s in text for s in special):
-                out.append(len(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]))
-                continue
-            pieces = PIECE.findall(text)
-            try:
-                out.append(sum([memo[p] for p in pieces]))
-            except KeyError:
-                memo.fill(pieces)
-                out.append(sum([memo[p] for p in pieces]))
-        return out
+        return [sum(found[1]) if (found := parts(t)) else len(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0]) for t in texts]
 
+    function.parts = parts
     return function
 
 

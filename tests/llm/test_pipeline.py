@@ -38,7 +38,7 @@ GOOD = "The harbour council met on Tuesday evening to discuss how the old lighth
 
 
 def edges(spark):
-    texts = [(1, GOOD), (1, GOOD), (2, GOOD.replace("Tuesday", "Monday")), (3, GOOD[::-1]), (3, "short"), (None, GOOD), (4, None), (5, ""), (6, GOOD + " " + " ".join(f"Then person {i} asked about cost item {i * 7}." for i in range(3000)))]
+    texts = [(1, GOOD), (1, GOOD), (2, GOOD.replace("three weeks", "three days")), (3, GOOD[::-1]), (3, "short"), (None, GOOD), (4, None), (5, ""), (6, GOOD + " " + " ".join(f"Then person {i} asked about cost item {i * 7}." for i in range(3000)))]
     return spark.createDataFrame([(i, t, None, None if i == 1 else "s", len(t) if t is not None else None, 1, "x", "y", 2) for i, t in texts], EDGES)
 
 
@@ -59,7 +59,7 @@ def test_edges(spark, tmp_path):
             continue
         assert Counter(r.doc_id for r in ruled) == {1: 2, 2: 1, 3: 1, None: 1, 6: 1}
         assert Counter(r.doc_id for r in deduped) == {1: 1, 3: 1, None: 1, 6: 1}
-        assert [r.doc_id for r in masked] == [r.doc_id for r in deduped] and {r.doc_id for r in mixed} <= {r.doc_id for r in masked}
+        assert Counter(r.doc_id for r in masked) == Counter(r.doc_id for r in deduped) and {r.doc_id for r in mixed} <= {r.doc_id for r in masked}
         assert max(r.piece for r in packed) > 5 or 6 not in {r.doc_id for r in mixed}
 
 
