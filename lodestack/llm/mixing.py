@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import materialize
+from lodestack.llm.common import materialize, scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE_PERCENT, MOST = (5, 2, 1), 150, 2
@@ -28,36 +28,46 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def ranged(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with, for each name of ``sums``, the sum of its column over all rows before in ``order``.
+
+    Rows are dealt to tasks by ranges of the order and written; each task adds up its own, and the sums of
+    the tasks before it, one row a task, are added.
+    """
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+    parts = dealt.groupBy("__part").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    parts = parts.select("__part", *[F.coalesce(F.sum(f"__{n}").over(earlier), F.lit(0)).alias(f"__{n}") for n in sums])
+    before = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(n) for n, c in sums.items()])
+    joined = own.join(F.broadcast(parts), "__part")
+    return joined.select(*rows.columns, *[(F.col(n) + F.col(f"__{n}")).alias(n) for n in sums])
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST) -> DataFrame:
     """source, source_size, target for each source of ``sizes`` (columns source, size).
 
     A target is min(most * size, level * weight) with the level at which the targets
     add up to the share. In order of most * size / weight, a source stops at its limit
     exactly if the level left for it and those after it isn't below that ratio.
-    One row per source goes through the windows; documents never do.
+    Sources are ranked and added up in ranges, so any number of them spreads over tasks; the totals
+    and the level's two numbers are all that the driver gets.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    weighed = by_source.withColumn("__weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place + 1))
-    limit = (F.lit(float(most)) * F.col("source_size")).alias("__limit")
-    weighed = weighed.select("*", limit).withColumn("__ratio", F.col("__limit") / F.col("__weight"))
-    up = Window.orderBy(F.col("__ratio"), F.col("source").asc_nulls_last())
-    before, after = up.rowsBetween(Window.unboundedPreceding, -1), up.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(1))
-    filled = weighed.select(
-        "*",
-        (F.sum("source_size").over(everything) * (share_percent / 100) - F.coalesce(F.sum("__limit").over(before), F.lit(0.0))).alias("__left"),
-        F.sum("__weight").over(after).alias("__weights"),
-    ).withColumn("__capped", F.col("__left") * F.col("__weight") >= F.col("__limit") * F.col("__weights"))
-    first = F.min(F.when(~F.col("__capped"), F.struct("__ratio", F.col("source").isNull(), "source", "__left", "__weights"))).over(everything)
-    return filled.withColumn("__open", first).select(
-        "source",
-        "source_size",
-        F.when(F.col("__capped"), F.col("__limit"))
-        .otherwise(F.col("__open")["__left"] * F.col("__weight") / F.col("__open")["__weights"])
-        .alias("target"),
-    )
+    named = F.col("source").asc_nulls_last()
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("__place") % len(weights) + 1).cast("int"))
+    weighed = ranged(by_source, [named], {"__place": F.lit(1)}).withColumn("__weight", weight).drop("__place")
+    weighed = weighed.withColumn("__limit", F.lit(float(most)) * F.col("source_size")).withColumn("__ratio", F.col("__limit") / F.col("__weight"))
+    filled = ranged(weighed, [F.col("__ratio").asc_nulls_last(), named], {"__limits": F.col("__limit"), "__earlier": F.col("__weight")})
+    filled = materialize(filled, "filled")
+    total = filled.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("__weight"), F.lit(0.0)).alias("weight")).first()
+    left, rest = F.lit(total["size"] * (share_percent / 100)) - F.col("__limits"), F.lit(total["weight"]) - F.col("__earlier")
+    filled = filled.withColumn("__left", left).withColumn("__weights", rest)
+    filled = filled.withColumn("__capped", F.col("__left") * F.col("__weight") >= F.col("__limit") * F.col("__weights"))
+    level = filled.where(~F.col("__capped")).agg(F.min(F.struct("__ratio", F.col("source").isNull().alias("none"), "source", "__left", "__weights")).alias("open")).first()["open"]
+    open_left, open_weights = (level["__left"], level["__weights"]) if level else (0.0, 1.0)
+    target = F.when(F.col("__capped"), F.col("__limit")).otherwise(F.lit(open_left) * F.col("__weight") / F.lit(open_weights))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def chance(doc_id: Column, seed: str = SEED) -> Column:
@@ -67,8 +77,7 @@ def chance(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def _small(goals: DataFrame) -> DataFrame:
-    """``goals``, written, and broadcast if there are few enough sources."""
-    goals = materialize(goals, "goals")
+    """``goals``, a written table, broadcast if there are few enough sources."""
     return F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
 
 
@@ -82,8 +91,10 @@ def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     The sizes are written once to the shared folder, so texts are read once.
     """
-    sized = materialize(docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size")), "mix")
-    goals = _small(targets(sized))
+    with scratch(docs.sparkSession) as keep:
+        sized = keep(materialize(docs.select(docs["doc_id"], docs["source"], word_count(docs["text"]).alias("size")), "mix"))
+        goals = keep(materialize(targets(sized), "goals"))
+    goals = _small(goals)
     joined = sized.alias("d").join(goals.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")))
     flat = joined.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target").withColumn("copies", _copies(seed))
     return flat.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
@@ -92,7 +103,9 @@ def mix_report(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     sized = docs.select(docs["source"], word_count(docs["text"]).alias("size"))
-    goals = _small(targets(sized).select(F.col("source").alias("__ls_source"), F.col("source_size").alias("__ls_size"), F.col("target").alias("__ls_target")))
+    with scratch(docs.sparkSession) as keep:
+        goals = keep(materialize(targets(sized).select(F.col("source").alias("__ls_source"), F.col("source_size").alias("__ls_size"), F.col("target").alias("__ls_target")), "goals"))
+    goals = _small(goals)
     joined = docs.join(goals, docs["source"].eqNullSafe(F.col("__ls_source")))
     rate = F.when(F.col("__ls_size") > 0, F.col("__ls_target") / F.col("__ls_size")).otherwise(0.0)
     copies = (F.floor(rate) + (chance(docs["doc_id"], seed) < rate - F.floor(rate)).cast("long")).cast("int")
