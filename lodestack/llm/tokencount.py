@@ -18,6 +18,7 @@ nothing; other columns aren't read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -52,27 +53,22 @@ class Counts(dict):
             self.update(zip(new, map(len, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
 
 
-def counter(name: str = TOKENIZER):
-    """A function from texts to the library's token counts.
+@functools.lru_cache(maxsize=8)
+def loaded(path: str, version: tuple[int, int]):
+    """The library's tokenizer of a file, with its special strings and whether counts of pieces add up.
 
-    Its ``parts(text)`` gives pieces that are the text, put together, with their counts, which add up to
-    the count of any run of pieces; None where the tokenizer or the text has no such pieces.
+    A worker process keeps it for all its tasks: what the library has cached for a tokenizer stays behind
+    when that is dropped, so one for each task would make the worker grow with its tasks. ``version``: the
+    file's time and size.
     """
     import json
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    path = tokenizer_file(name)
-    if name.endswith(".model"):
+    if path.endswith(".model"):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
-
-        def whole(texts):
-            return [len(x) for x in model.encode(texts, num_threads=1)]
-
-        whole.parts = lambda text: None
-        return whole
+        return sentencepiece.SentencePieceProcessor(model_file=path), [], False
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
@@ -83,6 +79,27 @@ def counter(name: str = TOKENIZER):
     special = [x["content"] for x in made.get("added_tokens", [])]
     steps = made.get("pre_tokenizer") or {}
     by_piece = steps.get("type") == "ByteLevel" and not steps.get("add_prefix_space") and steps.get("use_regex", True) and not made.get("normalizer")
+    return tokenizer, special, by_piece
+
+
+def counter(name: str = TOKENIZER):
+    """A function from texts to the library's token counts.
+
+    Its ``parts(text)`` gives pieces that are the text, put together, with their counts, which add up to
+    the count of any run of pieces; None where the tokenizer or the text has no such pieces.
+    """
+    import os
+
+    path = tokenizer_file(name)
+    stat = os.stat(path)
+    tokenizer, special, by_piece = loaded(path, (stat.st_mtime_ns, stat.st_size))
+    if name.endswith(".model"):
+
+        def whole(texts):
+            return [len(x) for x in tokenizer.encode(texts, num_threads=1)]
+
+        whole.parts = lambda text: None
+        return whole
     memo = Counts(tokenizer)
 
     def parts(text):

@@ -173,6 +173,31 @@ def test_cache_is_kept(spark, monkeypatch, tmp_path):
     assert spark.read.parquet(str(next(tmp_path.iterdir()))).count() == stored
 
 
+def test_a_process_loads_a_tokenizer_once(monkeypatch, tmp_path):
+    import os
+    import shutil
+
+    import tokenizers
+
+    file, library, loads = tmp_path / tokencount.TOKENIZER, tokenizers.Tokenizer, []
+    shutil.copy(tokencount.tokenizer_file(tokencount.TOKENIZER), file)
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            loads.append(path)
+            return library.from_file(path)
+
+    monkeypatch.setenv("LODESTACK_TOKENIZERS", str(tmp_path))
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    texts = ["one text", "", "another\u00a0one " * 9, "<|endoftext|>"]
+    found = [tokencount.counter()(texts) for _ in range(3)]
+    assert loads == [str(file)]
+    os.utime(file, ns=(1, 1))  # another version of the file
+    found.append(tokencount.counter()(texts))
+    assert len(loads) == 2 and found == [[len(library.from_file(str(file)).encode(t, add_special_tokens=False)) for t in texts]] * 4
+
+
 SPACED = ["  lead and\ttrail \n", "one", None, "", " \n ", "é " * 50, "x" * 400, " ".join(f"word{i}" for i in range(500))]
 
 
